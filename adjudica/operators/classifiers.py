@@ -59,7 +59,7 @@ class ModelKind:
 def _logistic(params, rows):
     # The penalty of one observation against the summed loss becomes one of the mean loss.
     strength = params.pop("C", 1.0)
-    settings = {"maxIter": 1000, "elasticNetParam": 0.0, "standardization": False, **params}
+    settings = {"maxIter": 1000, "tol": 1e-4, "elasticNetParam": 0.0, "standardization": False, **params}
     return LogisticRegression(regParam=1.0 / (strength * max(rows, 1)), **settings)
 
 

@@ -3,6 +3,6 @@
 
 def load_queries():
     """Import every module that registers queries and return the registry."""
-    from adjudica.plans import decision_queries, registry, table_queries  # noqa: F401
+    from adjudica.plans import decision_queries, model_queries, registry, table_queries  # noqa: F401
 
     return registry
