@@ -31,10 +31,10 @@ class UnknownDetectorError(ValueError):
 
 
 def encode(frame: DataFrame, spec: TableSpec) -> DataFrame:
-    """The key and all features, sensitive ones included, as one array of numbers."""
+    """The frame with all its features, sensitive ones included, as the array of numbers ``x``."""
     rows = frame.count()
     model = preprocessor(spec.numeric, spec.categorical, known_rows=rows).fit(frame)
-    return model.transform(frame).select(spec.key, vector_to_array("features").alias("x"))
+    return model.transform(frame).select(*frame.columns, vector_to_array("features").alias("x"))
 
 
 def _uniform(*parts) -> Column:
@@ -114,16 +114,13 @@ FOREST = (
 )
 
 
-def isolation_scores(
-    encoded: DataFrame, key: str, seed: int = KNOBS.seed, rows: int | None = None
-) -> DataFrame:
-    """Anomaly score of each row: near 1 if a few random cuts isolate it.
+def isolation_score(encoded: DataFrame, key: str, seed: int = KNOBS.seed) -> Column:
+    """Fit an isolation forest; the column scores a row near 1 if a few random cuts isolate it.
 
     Trees grow on their own executors from at most 256 rows each and are broadcast to score all
     rows; the forest's size does not depend on the table.
     """
-    rows = encoded.count() if rows is None else rows
-    samples = tree_samples(encoded, key, rows, seed)
+    samples = tree_samples(encoded.select(key, "x"), key, encoded.count(), seed)
     forest = samples.groupBy("tree").applyInPandas(_grow(seed), FOREST).toPandas()
     trees = [
         tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
@@ -145,14 +142,13 @@ def isolation_scores(
                 total += path[at]
             yield pd.Series(np.exp2(-total / (len(trees) * scale)))
 
-    scored = F.pandas_udf(score, "double")
-    return encoded.select(key, scored("x").alias("score"))
+    return F.pandas_udf(score, "double")("x")
 
 
-def one_class_scores(
-    encoded: DataFrame, key: str, nu: float = KNOBS.contamination, seed: int = KNOBS.seed
-) -> DataFrame:
-    """Anomaly score of each row: how far it lies on the wrong side of a learned boundary.
+def one_class_score(
+    encoded: DataFrame, nu: float = KNOBS.contamination, seed: int = KNOBS.seed
+) -> Column:
+    """Fit a one-class boundary; the column scores how far a row lies on its wrong side.
 
     The RBF kernel is approximated by random cosine features (Rahimi & Recht 2007). Separating the
     features from the origin is a linear support vector problem without intercept between the rows
@@ -178,7 +174,7 @@ def one_class_scores(
             x = np.stack(batch.to_numpy()).astype(float)
             yield pd.Series(list(math.sqrt(2.0 / COMPONENTS) * np.cos(x @ directions + shifts)))
 
-    lifted = encoded.select(key, F.pandas_udf(cosines, "array<double>")("x").alias("z"))
+    lifted = encoded.select(F.pandas_udf(cosines, "array<double>")("x").alias("z"))
     mirror = F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("z").alias("z")),
         F.struct(F.lit(0.0).alias("label"), F.transform("z", lambda v: -v).alias("z")),
@@ -201,13 +197,13 @@ def one_class_scores(
             z = math.sqrt(2.0 / COMPONENTS) * np.cos(x @ directions + shifts)
             yield pd.Series(1.0 - z @ weights)
 
-    return encoded.select(key, F.pandas_udf(margin, "double")("x").alias("score"))
+    return F.pandas_udf(margin, "double")("x")
 
 
-Detector = Callable[[DataFrame, str, float], DataFrame]
+Detector = Callable[[DataFrame, str, float], Column]
 DETECTORS: dict[str, Detector] = {
-    "isolation_forest": lambda encoded, key, share: isolation_scores(encoded, key),
-    "one_class_svm": lambda encoded, key, share: one_class_scores(encoded, key, share),
+    "isolation_forest": lambda encoded, key, share: isolation_score(encoded, key),
+    "one_class_svm": lambda encoded, key, share: one_class_score(encoded, share),
 }
 
 
@@ -223,23 +219,23 @@ def model_flags(
     contamination: float = KNOBS.contamination,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The key, and per detector its score and a flag on the given share of highest scores."""
+    """The frame with a score of each detector and a flag on the given share of highest scores.
+
+    Scores are columns of the frame itself, so nothing is joined. They are stored once, because
+    both the cut and the flag read them.
+    """
     names = sorted(DETECTORS) if names is None else list(names)
     detectors = [get_detector(name) for name in names]
     encoded = materialize(encode(frame, spec), "encoded")
-    table = None
-    for name, detector in zip(names, detectors):
-        scores = detector(encoded, spec.key, contamination).withColumnRenamed(
-            "score", f"{name}_score"
+    scores = {f"{n}_score": d(encoded, spec.key, contamination) for n, d in zip(names, detectors)}
+    scored = materialize(encoded.withColumns(scores).drop("x"), "scores")
+    cuts = quantile_row(scored, list(scores), [1.0 - contamination])
+    return (
+        attach(scored, cuts, name="_c")
+        .withColumns(
+            {n: F.col(f"{n}_score") > F.get(f"_c.{n}_score", F.lit(0)) for n in names}
         )
-        table = scores if table is None else table.join(scores, spec.key)
-    scores = materialize(table, "scores")
-    cuts = quantile_row(scores, [f"{n}_score" for n in names], [1.0 - contamination])
-    flagged = attach(scores, cuts, name="_c")
-    return flagged.select(
-        spec.key,
-        *[f"{n}_score" for n in names],
-        *[(F.col(f"{n}_score") > F.get(f"_c.{n}_score", F.lit(0))).alias(n) for n in names],
+        .drop("_c")
     )
 
 
@@ -247,8 +243,8 @@ def all_flags(
     frame: DataFrame, spec: TableSpec, contamination: float = KNOBS.contamination
 ) -> DataFrame:
     """The frame with a flag of each rule and each detector."""
-    found = model_flags(frame, spec, contamination).select(spec.key, *sorted(DETECTORS))
-    return rule_flags(frame, spec).join(found, spec.key)
+    found = rule_flags(model_flags(frame, spec, contamination), spec)
+    return found.select(*frame.columns, *LENSES)
 
 
 LENSES = (*RULES, *sorted(DETECTORS))

@@ -73,6 +73,16 @@ def readable(feature: Column, names: Mapping[str, str] = READABLE_NAMES) -> Colu
     return F.coalesce(chosen, F.replace(feature, F.lit("_"), F.lit(" ")))
 
 
+def readable_text(feature: str, names: Mapping[str, str] = READABLE_NAMES) -> str:
+    """The same wording for a name known before the query runs."""
+    if feature in names:
+        return names[feature]
+    for source in sorted(names, key=len, reverse=True):
+        if feature.startswith(f"{source}_"):
+            return f"{names[source]} is {feature[len(source) + 1 :].replace('_', ' ')}"
+    return feature.replace("_", " ")
+
+
 def decision_reasons(
     contributions: DataFrame,
     scored: DataFrame,
@@ -86,22 +96,38 @@ def decision_reasons(
 
     A row has as many contributions as the model has encoded features, so its array is short.
     """
-    entry = F.struct(
-        (-F.abs("contribution")).alias("size"),
-        "feature",
-        F.when(F.col("contribution") > 0, "+").otherwise("-").alias("sign"),
+    label = readable(F.col("feature"), names).alias("label")
+    entries = F.collect_list(F.struct("feature", label, "contribution")).alias("_entries")
+    grouped = contributions.groupBy(key).agg(entries)
+    return scored.join(grouped, key).select(
+        key, *reason_columns(F.col("_entries"), F.col(p), threshold, top)
     )
-    strongest = F.slice(F.sort_array(F.collect_list(entry)), 1, top)
-    phrase = lambda r: F.concat(
-        readable(r["feature"], names), F.lit(" ("), r["sign"], F.lit(")")
-    )
-    reasons = contributions.groupBy(key).agg(strongest.alias("_top"))
-    return scored.join(reasons, key).select(
-        key,
-        F.when(F.col(p) >= threshold, "approved").otherwise("declined").alias("decision"),
-        F.round(p, 3).alias("probability"),
-        F.array_join(F.transform("_top", phrase), "; ").alias("reasons"),
+
+
+def reason_columns(
+    entries: Column,
+    probability: Column,
+    threshold: float = KNOBS.threshold,
+    top: int = KNOBS.top_reasons,
+) -> list[Column]:
+    """Decision, probability and reasons from a row's array of (feature, label, contribution)."""
+    ordered = F.sort_array(
+        F.transform(
+            entries,
+            lambda e: F.struct(
+                (-F.abs(e["contribution"])).alias("size"),
+                e["feature"].alias("feature"),
+                e["label"].alias("label"),
+                F.when(e["contribution"] > 0, "+").otherwise("-").alias("sign"),
+            ),
+        )
     )
+    phrase = lambda r: F.concat(r["label"], F.lit(" ("), r["sign"], F.lit(")"))
+    return [
+        F.when(probability >= threshold, "approved").otherwise("declined").alias("decision"),
+        F.round(probability, 3).alias("probability"),
+        F.array_join(F.transform(F.slice(ordered, 1, top), phrase), "; ").alias("reasons"),
+    ]
 
 
 def beeswarm_rows(contributions: DataFrame, top: int = 15) -> DataFrame:

@@ -12,7 +12,7 @@ integral of a polynomial of degree d − 1, so Gauss–Legendre quadrature with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +24,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adjudica.operators.explain import readable_text, reason_columns
 from adjudica.operators.preprocess import FILLED, encoded_names
 from adjudica.session import new_path
+from adjudica.spec import KNOBS, READABLE_NAMES
 
 SMALL_PATH = 6  # paths this short tabulate all 2^d patterns once
 
@@ -146,20 +148,17 @@ def model_leaves(model: PipelineModel, spark) -> list[Leaf]:
     ]
 
 
-def _encoded(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    return PipelineModel(model.stages[:-1]).transform(frame)
-
-
 def _wide(model: PipelineModel, frame: DataFrame, key: str) -> tuple[DataFrame, float]:
-    """Key, encoded values, displayed values and contributions as arrays, and the base value."""
-    encoded = _encoded(model, frame)
+    """Key, probability, displayed values and contributions as arrays, and the base value."""
+    encoded = model.transform(frame)
     slots = encoded_names(model)
     x = vector_to_array("features")
     shown = [
         F.col(name + FILLED) if name + FILLED in encoded.columns else F.get(x, F.lit(i))
         for i, (name, _) in enumerate(slots)
     ]
-    rows = encoded.select(key, x.alias("x"), F.array(*shown).alias("shown"))
+    p = vector_to_array("probability").getItem(1).alias("p")
+    rows = encoded.select(key, p, x.alias("x"), F.array(*shown).alias("shown"))
     classifier = model.stages[-1]
     if isinstance(classifier, LogisticRegressionModel):
         means = encoded.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
@@ -169,7 +168,7 @@ def _wide(model: PipelineModel, frame: DataFrame, key: str) -> tuple[DataFrame,
             (F.get("x", F.lit(i)) - F.lit(float(m))) * F.lit(float(w))
             for i, (m, w) in enumerate(zip(means, weights))
         ]
-        return rows.select(key, "shown", F.array(*part).alias("parts")), base
+        return rows.select(key, "p", "shown", F.array(*part).alias("parts")), base
 
     leaves = model_leaves(model, frame.sparkSession)
     shared = frame.sparkSession.sparkContext.broadcast(leaves)
@@ -179,12 +178,10 @@ def _wide(model: PipelineModel, frame: DataFrame, key: str) -> tuple[DataFrame,
             if len(batch):
                 values = np.stack(batch["x"].to_numpy()).astype(float)
                 parts = contributions_of(shared.value, values)
-                yield pd.DataFrame(
-                    {key: batch[key], "shown": batch["shown"], "parts": list(parts)}
-                )
+                yield batch.drop(columns="x").assign(parts=list(parts))
 
     kind = dict(rows.dtypes)[key]
-    schema = f"{key} {kind}, shown array<double>, parts array<double>"
+    schema = f"{key} {kind}, p double, shown array<double>, parts array<double>"
     return rows.mapInPandas(explain, schema), _expected(leaves)
 
 
@@ -204,3 +201,32 @@ def explain_model(model: PipelineModel, frame: DataFrame, key: str) -> tuple[Dat
         F.col("pair.parts").alias("contribution"),
     )
     return table, base
+
+
+def explain_decisions(
+    model: PipelineModel,
+    frame: DataFrame,
+    key: str,
+    threshold: float = KNOBS.threshold,
+    top: int = KNOBS.top_reasons,
+    names: Mapping[str, str] = READABLE_NAMES,
+) -> DataFrame:
+    """Decision, probability and reasons of each row of a model's input.
+
+    The contributions of a row stay in its own array, so nothing is shuffled.
+    """
+    wide, _ = _wide(model, frame, key)
+    features = F.array(
+        *[
+            F.struct(F.lit(name).alias("feature"), F.lit(readable_text(name, names)).alias("label"))
+            for name, _ in encoded_names(model)
+        ]
+    )
+    entries = F.zip_with(
+        features,
+        F.col("parts"),
+        lambda f, c: F.struct(
+            f["feature"].alias("feature"), f["label"].alias("label"), c.alias("contribution")
+        ),
+    )
+    return wide.select(key, *reason_columns(entries, F.col("p"), threshold, top))

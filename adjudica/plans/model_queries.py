@@ -17,7 +17,7 @@ from adjudica.operators import (
     tuning,
     validation,
 )
-from adjudica.operators.classifiers import predict, score_rows
+from adjudica.operators.classifiers import predict
 from adjudica.operators.preprocess import (
     HOT,
     SCALED,
@@ -353,8 +353,7 @@ def shap_importance(spark, folder):
 def model_reasons(spark, folder):
     frame = materialize(fixtures.engineered(spark, folder))
     model = BOOSTED.fit(frame)
-    long, _ = tree_contributions.explain_model(model, frame, "applicant_id")
-    return explain.decision_reasons(long, score_rows(model, frame), "applicant_id")
+    return tree_contributions.explain_decisions(model, frame, "applicant_id")
 
 
 @query("batch_scores")
@@ -377,13 +376,15 @@ def holdout_report(spark, folder):
 @query("iforest")
 def iforest(spark, folder):
     encoded = materialize(detectors.encode(fixtures.repaired(spark, folder), APPLICANTS))
-    return detectors.isolation_scores(encoded, "applicant_id")
+    score = detectors.isolation_score(encoded, "applicant_id")
+    return encoded.select("applicant_id", score.alias("score"))
 
 
 @query("ocsvm")
 def ocsvm(spark, folder):
     encoded = materialize(detectors.encode(fixtures.repaired(spark, folder), APPLICANTS))
-    return detectors.one_class_scores(encoded, "applicant_id")
+    score = detectors.one_class_score(encoded)
+    return encoded.select("applicant_id", score.alias("score"))
 
 
 @query("clean_train")

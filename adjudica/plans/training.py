@@ -16,7 +16,7 @@ from adjudica.operators.features import engineer
 from adjudica.operators.rankings import select_features
 from adjudica.operators.selection import marked_curve
 from adjudica.operators.splits import assign_folds, mark_holdout, split_holdout
-from adjudica.operators.tree_contributions import explain_model
+from adjudica.operators.tree_contributions import explain_decisions, explain_model
 from adjudica.operators.validation import (
     CalibratedModel,
     ModelPlan,
@@ -297,9 +297,6 @@ def explain_file(
     frame = engineer(tables.scoring_input(spark, path, APPLICANTS))
     if limit is not None:
         frame = tables.first_rows(frame, APPLICANTS.key, limit)
-    long, _ = explain_model(model, frame, APPLICANTS.key)
-    reasons = explain.decision_reasons(
-        long, score_rows(model, frame), APPLICANTS.key, threshold
-    )
+    reasons = explain_decisions(model, frame, APPLICANTS.key, threshold)
     tables.write_csv(reasons, output)
     return reasons

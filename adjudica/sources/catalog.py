@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudica.operators.features import engineer
@@ -13,9 +13,6 @@ from adjudica.sources.fingerprints import file_fingerprints, table_fingerprint
 from adjudica.sources.tables import read_table, write_parquet
 from adjudica.spec import APPLICANTS, ENGINEERED_CATEGORICAL, ENGINEERED_NUMERIC, TableSpec
 
-LOG = "stage string, path string, sha256 string, n_rows long, n_columns long, derived array<string>"
-
-
 def record_stage(
     frame: DataFrame, stage: str, path: str, log: str, derived: Sequence[str] = ()
 ) -> None:
@@ -49,9 +46,9 @@ def record_files(spark: SparkSession, stage: str, path: str, log: str) -> None:
 
 def latest_stages(spark: SparkSession, log: str) -> DataFrame:
     """The newest record of each stage."""
-    newest = Window.partitionBy("stage").orderBy(F.desc("recorded_at"))
     entries = spark.read.parquet(log)
-    return entries.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    newest = F.max_by(F.struct(*entries.columns), F.col("recorded_at")).alias("_e")
+    return entries.groupBy("stage").agg(newest).select("_e.*")
 
 
 def prepare(

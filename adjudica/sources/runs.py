@@ -7,7 +7,7 @@ import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudica.functions.attach import attach
@@ -83,8 +83,8 @@ def record_run(spark: SparkSession, described: Mapping, metrics: Mapping, index:
 
 def run_index(entries: DataFrame) -> DataFrame:
     """The newest entry of each run; the newest run of all is the current one."""
-    newest = Window.partitionBy("run_id").orderBy(F.desc("created_at"))
-    runs = entries.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    newest = F.max_by(F.struct(*entries.columns), F.col("created_at")).alias("_e")
+    runs = entries.groupBy("run_id").agg(newest).select("_e.*")
     latest = runs.agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("current"))
     return attach(runs, latest).select(
         *entries.columns, (F.col("run_id") == F.col("_s.current")).alias("is_current")
