@@ -37,12 +37,17 @@ def _span(frame: DataFrame) -> int:
 
 def _with_bucket(frame: DataFrame, value: str, cuts: DataFrame, keys: list[str], span: int):
     """Add ``_bucket``, the number of cut points below the value, by two short searches."""
-    coarse = F.array(*[F.get("cuts", F.lit(i * span - 1)) for i in range(1, span)])
+    coarse = F.expr(f"transform(sequence(1, {span - 1}), i -> get(cuts, i * {span} - 1))")
     found = attach(frame, cuts.select(*keys, "cuts", coarse.alias("coarse")), keys, "_cuts")
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
-    step = found.withColumn("_step", below(F.col("_cuts.coarse")) * span)
-    part = F.slice(F.col("_cuts.cuts"), F.col("_step") + 1, F.lit(span))
-    return step.withColumn("_bucket", F.col("_step") + below(part)).drop("_cuts", "_step")
+    kept = frame.columns
+    step = F.expr(f"{span} * size(filter(_cuts.coarse, c -> c < `{value}`))")
+    rest = F.expr(f"_step + size(filter(slice(_cuts.cuts, _step + 1, {span}), c -> c < `{value}`))")
+    return found.select(*kept, "_cuts", step.alias("_step")).select(*kept, rest.alias("_bucket"))
+
+
+def _known(counts: Sequence[str]) -> str:
+    """A condition that always holds and reads all of the counts."""
+    return " and ".join(f"`{c}` >= 0" for c in dict.fromkeys(counts))
 
 
 def running_totals(
@@ -51,28 +56,28 @@ def running_totals(
     value: str,
     totals: Sequence[str],
     descending: bool = False,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``before_<t>``, the sum of t over the values ahead of this one, and ``all_<t>``.
 
     ``counted`` holds each (keys, value) once, the totals are never null, and ``keys`` name
-    features, classes or folds, so they take few values.
+    features, classes or folds, so they take few values. ``also`` names further counts of
+    ``counted`` that the caller reads elsewhere: every branch of this plan then asks for the same
+    columns, and Spark reuses one shuffle for all of them.
     """
     keys, span = list(keys), _span(counted)
     buckets = span * span
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    # Naming the totals keeps this branch's shuffle equal to the main one, so Spark reuses it.
-    known = F.lit(True)
-    for t in totals:
-        known = known & (F.col(t) >= 0)
-    cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx(
-            F.when(known, F.col(value)), [i / buckets for i in range(1, buckets)], 10 * buckets
-        ).alias("cuts")
-    )
+    known = _known([*totals, *also])
+    shares = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    sketch = f"percentile_approx(if({known}, `{value}`, null), array({shares}), {10 * buckets})"
+    cuts = counted.groupBy(*keys).agg(F.expr(sketch).alias("cuts"))
     placed = _with_bucket(counted, value, cuts, keys, span)
 
     # At most span² rows per key: this window and this broadcast do not grow with the table.
-    sums = placed.groupBy(*keys, "_bucket").agg(*[F.sum(t).alias(t) for t in totals])
+    sums = placed.groupBy(*keys, "_bucket").agg(
+        *[F.expr(f"sum(if({known}, `{t}`, 0))").alias(t) for t in totals]
+    )
     ahead = Window.partitionBy(*keys).orderBy(order("_bucket")).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -101,19 +106,25 @@ def order_statistics(
     keys: Sequence[str],
     value: str,
     positions: dict[str, Callable[[Column], Column]],
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Values at 0-based positions of the sorted rows; a position is a function of the row count."""
-    placed = running_totals(counted, keys, value, ["n"])
+    placed = running_totals(counted, keys, value, ["n"], also=also)
     total, first, last = F.col("all_n"), F.col("before_n"), F.col("before_n") + F.col("n")
+    known = F.expr(_known(["n", *also]))
     picks = [
-        F.max(F.when((first <= at(total)) & (at(total) < last), F.col(value))).alias(name)
+        F.max(F.when(known & (first <= at(total)) & (at(total) < last), F.col(value))).alias(name)
         for name, at in positions.items()
     ]
     return placed.groupBy(*keys).agg(F.max("all_n").alias("n"), *picks)
 
 
 def grouped_quantiles(
-    counted: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]
+    counted: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    shares: Sequence[float],
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Exact quantiles ``q0, q1, …`` with linear interpolation, one row per key."""
     positions: dict[str, Callable[[Column], Column]] = {}
@@ -121,7 +132,7 @@ def grouped_quantiles(
         spot = lambda total, s=share: (total - 1) * F.lit(float(s))
         positions[f"_lo{i}"] = lambda total, s=spot: F.floor(s(total))
         positions[f"_hi{i}"] = lambda total, s=spot: F.least(F.floor(s(total)) + 1, total - 1)
-    picked = order_statistics(counted, keys, value, positions)
+    picked = order_statistics(counted, keys, value, positions, also)
     columns = []
     for i, share in enumerate(shares):
         spot = (F.col("n") - 1) * F.lit(float(share))

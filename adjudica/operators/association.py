@@ -3,67 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.functions.attach import attach, long_form, stacked
-from adjudica.functions.ordering import count_values, quantile_row, running_totals
+from adjudica.functions.ordering import count_values, grouped_quantiles, running_totals
 from adjudica.operators.profile import band_index
 from adjudica.spec import KNOBS, TableSpec
 
 MISSING = "\u0000missing"
 
 
-def _cells(frame: DataFrame, columns: Sequence[str], other: str) -> DataFrame:
-    """Rows per (feature, value, other) with the row, column and overall totals beside them.
-
-    The totals are sums over already counted cells. ``other`` has few levels; a feature may have
-    many, so its totals come from a window over (feature, value), which holds one row per level of
-    ``other``.
-    """
-    from pyspark.sql import Window
-
-    cells = (
+def _count_cells(frame: DataFrame, columns: Sequence[str], other: str) -> DataFrame:
+    """Rows per (feature, value, other), rows with a null left out."""
+    return (
         long_form(frame, columns, keep=[other], cast="string")
         .where(F.col("value").isNotNull() & F.col(other).isNotNull())
         .groupBy("feature", "value", other)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    cells = cells.withColumn("n_value", F.sum("n").over(Window.partitionBy("feature", "value")))
-    levels = cells.groupBy("feature", other).agg(F.sum("n").alias("n_other"))
-    totals = levels.groupBy("feature").agg(
-        F.sum("n_other").alias("n_all"),
-        F.count(F.lit(1)).alias("levels_other"),
-        F.map_from_entries(F.collect_list(F.struct(F.col(other), F.col("n_other")))).alias("_by"),
-    )
-    placed = attach(cells, totals, ["feature"], "_t")
-    return placed.select(
-        "feature",
-        "value",
-        other,
-        "n",
-        "n_value",
-        F.element_at("_t._by", F.col(other)).alias("n_other"),
-        F.col("_t.n_all").alias("n_all"),
-        F.col("_t.levels_other").alias("levels_other"),
+
+
+def _per_level(cells: DataFrame, other: str) -> DataFrame:
+    """Sums over the values of each feature, per level of ``other``.
+
+    A feature may have many values, so their totals come from a window over (feature, value), which
+    holds one row per level of ``other``. From here on a feature has one row per level.
+    """
+    value = Window.partitionBy("feature", "value")
+    n, of_value = F.col("n").cast("double"), F.col("n_value").cast("double")
+    return (
+        cells.withColumn("n_value", F.sum("n").over(value))
+        .groupBy("feature", other)
+        .agg(
+            F.sum("n").cast("double").alias("n"),
+            F.sum(n * n / of_value).alias("squares"),
+            F.sum(n * (F.log(n) - F.log(of_value))).alias("logs"),
+            F.sum(n / of_value).alias("values"),
+        )
     )
 
 
 def cramers_v(frame: DataFrame, columns: Sequence[str], other: str) -> DataFrame:
-    """Cramér's V of each column with ``other``, a column of few levels.
+    """Cramér's V of each column with ``other``.
 
-    Without a continuity correction; rows with a null do not count; 0 if a side has one level.
+    Without a continuity correction; rows with a null do not count; 0 if a side has one level. With
+    o the count of a cell and r, c its totals, χ²/n = Σ o²/(r·c) − 1, which needs no empty cells.
     """
-    cells = _cells(frame, columns, other)
-    share = F.col("n") * F.col("n") / (F.col("n_value").cast("double") * F.col("n_other"))
-    found = cells.groupBy("feature").agg(
-        F.sum(share).alias("s"),
-        F.max("levels_other").alias("levels_other"),
-        F.sum(F.col("n") / F.col("n_value").cast("double")).alias("levels_value"),
+    found = (
+        _per_level(_count_cells(frame, columns, other), other)
+        .groupBy("feature")
+        .agg(
+            F.sum(F.col("squares") / F.col("n")).alias("s"),
+            F.count(F.lit(1)).alias("levels"),
+            F.round(F.sum("values")).alias("values"),
+        )
     )
-    smaller = F.least(F.round("levels_value"), F.col("levels_other")) - 1
+    smaller = F.least("values", "levels") - 1
     value = F.sqrt(F.greatest(F.try_divide(F.col("s") - 1, smaller), F.lit(0.0)))
     names = stacked_names(frame, columns)
     return names.join(F.broadcast(found), "feature", "left").select(
@@ -118,6 +117,51 @@ def feature_auc(frame: DataFrame, columns: Sequence[str], target: str) -> DataFr
     return placed.groupBy("feature").agg(F.try_divide(F.sum(wins), pairs).alias("auc"))
 
 
+def _banded_cells(frame: DataFrame, columns: Sequence[str], target: str, bins: int) -> DataFrame:
+    """Rows per (feature, band, target): the table is counted once, per distinct value.
+
+    The edges come from these counts too, and a value finds its band after counting.
+    """
+    labelled = frame.where(F.col(target).isNotNull())
+    counted = count_values(
+        long_form(labelled, columns, keep=[target]), ["feature"], "value", ones=F.col(target)
+    )
+    shares = [i / bins for i in range(bins + 1)] + [0.5]
+    found = grouped_quantiles(counted, ["feature"], "value", shares, also=["ones"])
+    edges = found.select(
+        "feature",
+        F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)])).alias("edges"),
+        F.col(f"q{bins + 1}").alias("median"),
+    )
+    # Missing values are counted apart and join the band of the median.
+    blank = labelled.agg(
+        *[
+            F.struct(
+                F.count_if(F.col(c).isNull()).alias("n"),
+                F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col(target))), F.lit(0)).alias("ones"),
+            ).alias(c)
+            for c in columns
+        ]
+    )
+    missing = stacked(
+        blank,
+        [(F.lit(c), F.lit(None).cast("double"), F.col(f"{c}.n"), F.col(f"{c}.ones")) for c in columns],
+        ("feature", "value", "n", "ones"),
+    )
+    placed = attach(counted.unionByName(missing), edges, ["feature"], "_e")
+    band = band_index(F.coalesce("value", F.col("_e.median")), F.col("_e.edges"))
+    both = F.array(
+        F.struct(F.lit(0).cast("long").alias(target), (F.col("n") - F.col("ones")).alias("rows")),
+        F.struct(F.lit(1).cast("long").alias(target), F.col("ones").alias("rows")),
+    )
+    return (
+        placed.select("feature", band.cast("string").alias("value"), F.inline(both))
+        .groupBy("feature", "value", target)
+        .agg(F.sum("rows").alias("n"))
+        .where("n > 0")
+    )
+
+
 def binned_information(
     frame: DataFrame, spec: TableSpec, bins: int = 10, numeric=None, categorical=None
 ) -> DataFrame:
@@ -128,27 +172,19 @@ def binned_information(
     """
     numeric = list(spec.numeric if numeric is None else numeric)
     categorical = list(spec.categorical if categorical is None else categorical)
-    table = frame
+    parts = []
     if numeric:
-        shares = [i / bins for i in range(bins + 1)] + [0.5]
-        table = attach(frame, quantile_row(frame, numeric, shares), name="_q")
-    coded = [
-        band_index(
-            F.coalesce(F.col(c), F.get(f"_q.{c}", F.lit(bins + 1))),
-            F.array_distinct(F.slice(F.col(f"_q.{c}"), 1, bins + 1)),
+        parts.append(_banded_cells(frame, numeric, spec.target, bins))
+    if categorical:
+        filled = frame.select(
+            spec.target, *[F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in categorical]
         )
-        .cast("string")
-        .alias(c)
-        for c in numeric
-    ] + [F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in categorical]
-    cells = _cells(table.select(spec.target, *coded), [*numeric, *categorical], spec.target)
-    joint = F.col("n") / F.col("n_all").cast("double")
-    lift = F.col("n") * F.col("n_all").cast("double") / (
-        F.col("n_value").cast("double") * F.col("n_other")
-    )
-    return cells.groupBy("feature").agg(
-        F.greatest(F.sum(joint * F.log(lift)), F.lit(0.0)).alias("mutual_info")
-    )
+        parts.append(_count_cells(filled, categorical, spec.target))
+    levels = _per_level(reduce(DataFrame.unionByName, parts), spec.target)
+    # Σ o/N · ln(o·N / (r·c)), summed over the values first and the target's levels second.
+    n = F.sum("n")
+    total = (F.sum("logs") - F.sum(F.col("n") * F.log("n"))) / n + F.log(n)
+    return levels.groupBy("feature").agg(F.greatest(total, F.lit(0.0)).alias("mutual_info"))
 
 
 def target_association(

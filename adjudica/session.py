@@ -17,6 +17,8 @@ def build_session(app: str = "adjudica", master: str | None = None, **settings)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Recording the call site of every column expression slows down the building of plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for name, value in {**defaults, **settings}.items():
         builder = builder.config(name, value)
