@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.functions.attach import attach, long_form, stacked
-from adjudica.functions.ordering import count_values, grouped_quantiles, running_totals
+from adjudica.functions.ordering import (
+    count_values,
+    grouped_quantiles,
+    quantile_row,
+    running_totals,
+)
 from adjudica.operators.profile import band_index
 from adjudica.spec import KNOBS, TableSpec
 
@@ -296,3 +301,125 @@ def spearman(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
         names["right"].alias("right"),
         F.try_divide(cross, F.sqrt(left) * F.sqrt(right)).alias("spearman"),
     )
+
+
+BLOCK = 100_000  # distinct values of one class that share a window
+
+
+def _digamma(x: Column) -> Column:
+    """The digamma function for x ≥ 1: shifted up by six, where its asymptotic series is exact."""
+    x = x.cast("double")
+    y = x + 6.0
+    series = (
+        F.log(y)
+        - F.lit(0.5) / y
+        - F.lit(1 / 12) / (y * y)
+        + F.lit(1 / 120) / F.pow(y, 4)
+        - F.lit(1 / 252) / F.pow(y, 6)
+        + F.lit(1 / 240) / F.pow(y, 8)
+    )
+    return series - reduce(lambda a, b: a + b, [F.lit(1.0) / (x + i) for i in range(6)])
+
+
+def _class_neighbours(counted: DataFrame, k: int) -> DataFrame:
+    """For each (feature, class, value) its k-th nearest row of the same class and the distance.
+
+    Values of a class are numbered in order and cut into blocks of fixed size; the k values on
+    either side of a block are copied into it, so a window never holds more than a block.
+    """
+    keys = ["feature", "class"]
+    numbered = running_totals(counted.withColumn("one", F.lit(1)), keys, "value", ["one", "n"])
+    place, home = F.pmod("before_one", F.lit(BLOCK)), F.floor(F.col("before_one") / BLOCK)
+    blocks = F.array_compact(
+        F.array(home, F.when(place < k, home - 1), F.when(place >= BLOCK - k, home + 1))
+    )
+    copies = numbered.withColumn("home", home).withColumn("block", F.explode(blocks))
+    order = Window.partitionBy(*keys, "block").orderBy("value")
+    entry = lambda d, n, at: F.struct(d.alias("d"), n.alias("n"), at.alias("at"))
+    near = [entry((F.col("n") * 0).cast("double"), F.col("n") - 1, F.col("value"))]
+    for step in range(1, k + 1):
+        for side in (F.lag, F.lead):
+            other, many = side("value", step).over(order), side("n", step).over(order)
+            near.append(entry(F.abs(F.col("value") - other), many, other))
+    ordered = F.sort_array(F.filter(F.array(*near), lambda e: e["d"].isNotNull()))
+    wanted = F.least(F.lit(k), F.col("all_n") - 1)
+    # Walk outwards until enough rows are met, and keep the distance of the last step.
+    walk = F.aggregate(
+        ordered,
+        entry(F.lit(0.0), F.lit(0).cast("long"), F.lit(None).cast("double")),
+        lambda a, e: entry(
+            F.when(a["n"] >= wanted, a["d"]).otherwise(e["d"]),
+            a["n"] + e["n"],
+            F.when(a["n"] >= wanted, a["at"]).otherwise(e["at"]),
+        ),
+    )
+    return (
+        copies.select(*keys, "value", "n", "all_n", "home", "block", walk.alias("_w"))
+        .where("home = block and all_n > 1")
+        .select(*keys, "value", "n", "all_n", F.col("_w.d").alias("radius"), F.col("_w.at").alias("at"))
+    )
+
+
+def neighbour_information(
+    frame: DataFrame, columns: Sequence[str], target: str, k: int = 3
+) -> DataFrame:
+    """Mutual information of numeric columns with the target by nearest neighbours (Ross 2014).
+
+    The k-th nearest row of the same class sets a radius; the rows of any class closer than that
+    are counted. A value repeated more than k times has radius 0: then all its repeats count on both
+    sides (Gao et al. 2017), where adding noise would give the same on average. Missing numbers take
+    the median. Distances and counts come from counted values and running totals, so no rows are
+    paired with each other.
+    """
+    labelled = frame.where(F.col(target).isNotNull())
+    medians = quantile_row(labelled, columns, [0.5])
+    filled = attach(labelled, medians, name="_m").select(
+        F.col(target).cast("long").alias("class"),
+        *[F.coalesce(F.col(c).cast("double"), F.get(f"_m.{c}", F.lit(0))).alias(c) for c in columns],
+    )
+    counted = count_values(long_form(filled, columns, keep=["class"]), ["feature", "class"], "value")
+    near = _class_neighbours(counted, k)
+    # The neighbour's own value is the limit on its side, free of rounding.
+    v, at, radius = F.col("value"), F.col("at"), F.col("radius")
+    inner = near.where("radius > 0").select(
+        "feature",
+        "class",
+        "value",
+        F.when(at < v, at).otherwise(v - radius).alias("low"),
+        F.when(at > v, at).otherwise(v + radius).alias("high"),
+    )
+    # How many rows lie below a limit: limits enter the order as values that no row has.
+    limits = inner.select("feature", F.explode(F.array("low", "high")).alias("value"))
+    marks = limits.withColumn("n", F.lit(0).cast("long")).unionByName(
+        counted.select("feature", "value", "n")
+    )
+    merged = marks.groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    ranked = running_totals(merged, ["feature"], "value", ["n"]).select(
+        "feature", "value", "n", "before_n"
+    )
+    lows = ranked.select(
+        "feature", F.col("value").alias("low"), (F.col("before_n") + F.col("n")).alias("up_to")
+    )
+    highs = ranked.select("feature", F.col("value").alias("high"), F.col("before_n").alias("below"))
+    within = (
+        inner.join(lows, ["feature", "low"])
+        .join(highs, ["feature", "high"])
+        .select("feature", "class", "value", (F.col("below") - F.col("up_to")).alias("within"))
+    )
+    same = counted.groupBy("feature", "value").agg(F.sum("n").alias("repeats"))
+    points = near.join(within, ["feature", "class", "value"], "left").join(
+        same, ["feature", "value"]
+    )
+    tied = F.col("radius") == 0
+    own = F.when(tied, F.col("n") - 1).otherwise(F.least(F.lit(k), F.col("all_n") - 1))
+    around = F.when(tied, F.col("repeats")).otherwise(F.col("within"))
+    part = _digamma(own) - _digamma(F.col("all_n")) - _digamma(F.greatest(around, F.lit(1)))
+    sums = points.groupBy("feature").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * part).alias("parts")
+    )
+    return sums.select(
+        "feature",
+        F.greatest(_digamma(F.col("rows")) + F.col("parts") / F.col("rows"), F.lit(0.0)).alias(
+            "mutual_info"
+        ),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adjudica.operators import (
+    association,
     components,
     detectors,
     explain,
@@ -106,6 +107,13 @@ def one_hot(spark, folder):
     return model.transform(frame).select("applicant_id", F.inline(slots))
 
 
+@query("neighbour_mi")
+def neighbour_mi(spark, folder):
+    """Its direct definition compares all pairs of rows, so it is tested on a small frame instead."""
+    frame = fixtures.repaired(spark, folder)
+    return association.neighbour_information(frame, APPLICANTS.numeric, TARGET)
+
+
 # Outliers of a skewed table, where the rules fire.
 
 _doc_numeric = fixtures.DOCUMENTS.numeric
