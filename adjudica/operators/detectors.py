@@ -60,7 +60,7 @@ def tree_samples(encoded: DataFrame, key: str, rows: int, seed: int) -> DataFram
     """
     share = 1.5 * TREE_ROWS / rows
     if TREES * share <= 1.0:
-        u = _uniform(key, seed, 1)
+        u = _uniform(F.col(key), seed, 1)
         taken = encoded.where(u < TREES * share).withColumn(
             "tree", F.floor(u / share).cast("int")
         )

@@ -135,6 +135,7 @@ def figure_tables(
     spec: TableSpec = ENGINEERED,
     segments=("EmploymentType", "credit_band"),
     folds: int = KNOBS.folds,
+    sizes: int = 8,
 ) -> dict[str, DataFrame]:
     """The numbers behind every figure of a run, by name."""
     y = spec.target
@@ -149,7 +150,7 @@ def figure_tables(
         metrics.calibration_bins(smooth, y=y).withColumn("model", F.lit("calibrated"))
     )
     found = {
-        "learning_curve": learning_curve(outcome.train, outcome.plan, spec.key, folds),
+        "learning_curve": learning_curve(outcome.train, outcome.plan, spec.key, folds, sizes),
         "roc_points": metrics.roc_points(scored, y),
         "pr_points": metrics.pr_points(scored, y),
         "calibration": both,

@@ -30,7 +30,7 @@ def test_unknown_names_list_the_choices():
         detectors.get_detector("nothing")
 
 
-def test_a_model_without_probabilities_is_refused():
+def test_a_model_without_probabilities_is_refused(spark):
     from pyspark.ml.regression import LinearRegression
 
     kind = ModelKind("wrong", lambda params, rows: LinearRegression(), {})
@@ -257,6 +257,6 @@ def test_figure_tables_of_a_tuned_run(spark, small):
         "logistic_regression",
         training.TrainingOptions(tune=True, trials=2, folds=2, remove_outliers=False),
     )
-    found = training.figure_tables(outcome, folds=2)
+    found = training.figure_tables(outcome, folds=2, sizes=2)
     assert {"tuning_history", "param_effect", "roc_points", "learning_curve"} <= set(found)
     assert all(table.count() > 0 for table in found.values())
