@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from adjudica.llm import (
     decontaminate,
+    html_text,
     license_scan,
+    line_crf,
     near_duplicates,
     packing,
     quality_rules,
@@ -92,3 +94,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = surrogates.replace_personal_data(_documents(spark, sf_dir), SURROGATE_KEY)
     return replaced.select("row.doc_id", "text", "n_entities", "kinds")
+
+
+@_query
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return line_crf.score_documents(_documents(spark, sf_dir), labels)
+
+
+@_query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
