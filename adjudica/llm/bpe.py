@@ -2,8 +2,9 @@
 
 Byte-pair merges never cross a word of the vocabulary's own pattern, so a text's ids are those of
 its words one after another. Web text repeats its words; each Python worker therefore keeps the ids
-of words it has met, in two bounded tables that are emptied when full: pieces between spaces, which
-need no pattern to find, and below them the words. Emptying changes the time and nothing else.
+of words it has met, in two bounded tables: pieces between spaces, which
+need no pattern to find, and below them the words. A full table becomes the older one, which is asked on a
+miss, and an empty one takes its place; that changes the time and nothing else.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ def byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = byte_alphabet()
-#: Pieces and words that a worker keeps at most; about 60 and 110 MB.
-MOST_PIECES, MOST_WORDS = 250_000, 600_000
+#: Pieces and words in a table; with the older ones about 60 and 110 MB.
+MOST_PIECES, MOST_WORDS = 125_000, 300_000
 
 
 class WordTable:
@@ -41,8 +42,8 @@ class WordTable:
         self.find = regex.compile(WORD_PATTERN).findall
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.pieces: dict = {}
-        self.words: dict = {}
+        self.pieces, self.older_pieces = {}, {}
+        self.words, self.older_words = {}, {}
 
     def value(self, word: str):
         raise NotImplementedError
@@ -54,13 +55,16 @@ class WordTable:
         raise NotImplementedError
 
     def _of_words(self, words: list[str]):
-        known, values = self.words, []
+        values = []
         for word in words:
-            value = known.get(word)
+            value = self.words.get(word)
             if value is None:
-                if len(known) >= MOST_WORDS:
-                    known.clear()
-                value = known[word] = self.value(word)
+                if len(self.words) >= MOST_WORDS:
+                    self.words, self.older_words = {}, self.words
+                value = self.older_words.get(word)
+                if value is None:
+                    value = self.value(word)
+                self.words[word] = value
             values.append(value)
         return self.total(values)
 
@@ -76,17 +80,19 @@ class WordTable:
         # A word holds a space only as its first character. A cut before each space is therefore a
         # cut between words, unless more white space follows that space.
         first, *rest = text.split(" ")
-        known = self.pieces
-        values = [*map(known.get, rest)]
+        values = [*map(self.pieces.get, rest)]
         if None in values:
             for k, value in enumerate(values):
                 if value is None:
                     piece = rest[k]
                     if not piece or piece[0].isspace():
                         return self._of_words(self.find(text))
-                    if len(known) >= MOST_PIECES:
-                        known.clear()
-                    values[k] = known[piece] = self._of_words(self.find(" " + piece))
+                    if len(self.pieces) >= MOST_PIECES:
+                        self.pieces, self.older_pieces = {}, self.pieces
+                    value = self.older_pieces.get(piece)
+                    if value is None:
+                        value = self._of_words(self.find(" " + piece))
+                    values[k] = self.pieces[piece] = value
         return self.total([self._of_words(self.find(first)), *values])
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows that a task turns into Python values at a time; bounds memory, changes no result.
+SLICE_ROWS = 500
 #: bytes.translate() with this lower-cases A-Z and turns each byte outside a word into a space.
 ALNUM_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -47,7 +49,7 @@ def map_batches(
     work: Callable[[Iterable[dict[str, list]]], Iterator[dict[str, list]]],
     schema: str,
 ) -> DataFrame:
-    """Run ``work`` once per task over its batches, as dicts of Python lists in and out."""
+    """Run ``work`` once per task over slices of its batches, as dicts of Python lists in and out."""
     fields = [piece.split() for piece in schema.split(",")]
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
@@ -55,8 +57,13 @@ def map_batches(
     }
     layout = pa.schema([(name, kinds[kind]) for name, kind in fields])
 
+    def slices(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(first, SLICE_ROWS).to_pydict()
+
     def run(batches):
-        for rows in work(batch.to_pydict() for batch in batches):
+        for rows in work(slices(batches)):
             yield pa.RecordBatch.from_pydict(rows, layout)
 
     return frame.mapInArrow(run, schema)

@@ -19,39 +19,48 @@ from adjudica.llm.columns import id_and_text, map_batches
 from adjudica.session import materialize
 
 #: For each control byte the lengths of its four values.
-LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 #: For each length the bits of a 32-bit word that belong to the value.
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
-def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
-    codes[: len(values)] = lengths - 1
+def pack_values(values: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control bytes, data bytes) of each run of ``counts`` unsigned 32-bit values."""
+    values = values.astype("<u4", copy=False)
+    lengths = np.ones(len(values), dtype=np.uint8)
+    most = int(values.max(initial=0))
+    for bound in (0xFF, 0xFFFF, 0xFFFFFF):
+        if most > bound:
+            lengths += values > bound
+    padded = -(-counts // 4) * 4
+    ends, places = np.cumsum(counts), np.cumsum(padded)
+    shift = np.repeat(places - padded - (ends - counts), counts)
+    codes = np.zeros(int(places[-1]) if len(places) else 0, dtype=np.uint8)
+    codes[np.arange(len(values)) + shift] = lengths - 1
     codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]].tobytes()
+    bytes_before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    data_at = bytes_before[np.concatenate([[0], ends])].tolist()
+    control_at = [0, *(places // 4).tolist()]
+    return [
+        (control[control_at[k] : control_at[k + 1]], data[data_at[k] : data_at[k + 1]])
+        for k in range(len(counts))
+    ]
 
 
 def unpack_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ``count`` values of one pair of control and data bytes, by table lookup."""
     lengths = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:count]
-    starts = np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
     padded = np.zeros(len(data) + 3, dtype=np.uint32)
     padded[: len(data)] = np.frombuffer(data, dtype=np.uint8)
     words = padded[starts]
-    for k in (1, 2, 3):
+    for k in range(1, int(lengths.max(initial=1))):
         words |= padded[starts + k] << np.uint32(8 * k)
     return words & MASKS[lengths]
 
 
-def _ids(column: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(ids, dtype="<u4") for ids in column]
-
-
 def _ranked_ids(encoded: DataFrame) -> np.ndarray:
     """All ids that occur, most frequent first, ties by id: as many as the vocabulary at most."""
 
@@ -106,13 +115,14 @@ def write_token_files(
 
     def compress(batches):
         for batch in batches:
-            packed = [(pack_values(rank_of[ids]), len(ids)) for ids in _ids(batch["ids"])]
+            counts = np.array([len(ids) // 4 for ids in batch["ids"]], dtype=np.int64)
+            packed = pack_values(rank_of[np.frombuffer(b"".join(batch["ids"]), dtype="<u4")], counts)
             yield {
                 "doc_id": batch["doc_id"],
                 "tie": batch["tie"],
-                "n_tokens": [count for _, count in packed],
-                "control": [control for (control, _), _ in packed],
-                "data": [data for (_, data), _ in packed],
+                "n_tokens": counts.tolist(),
+                "control": [control for control, _ in packed],
+                "data": [data for _, data in packed],
             }
 
     small = map_batches(
