@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adjudica.llm.columns import id_and_text, map_batches
@@ -168,22 +168,15 @@ def components(links: DataFrame) -> DataFrame:
         )
 
 
-def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one group yet; ids outside ``groups`` are alone."""
-    of_a = groups.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    of_b = groups.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text).
 
     1. Texts with one shingle set form a class; only the smallest id of a class goes on.
-    2. Ids that share a band form a bucket. First each id is compared with the smallest id of its
-       first bucket, then with the smallest of its other buckets where they are not yet connected.
+    2. Ids that share a band form a bucket. Each id is compared with the smallest of the first ids of
+       its buckets. Only buckets that still hold different groups go on: there, each id outside the
+       group of the bucket's first id is compared with that one.
     3. What is left are ids of one bucket in different groups. Each such pair is compared, once.
-    All comparisons are on full sets. A group of near copies, however large, costs one comparison per
+    All comparisons are on full sets; pairs whose sizes alone rule out a link are not formed. A group of near copies, however large, costs one comparison per
     member; pairs within a bucket are only formed between groups that no link has joined.
 
     Empty and null texts have no shingles and stay alone. Rows with a null id get a null component and
@@ -198,14 +191,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         (F.col("class") == F.col("of")) & (F.col("doc_id") == F.col("head")),
         "left_semi",
     )
-    banded = of_head.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
+    banded = of_head.select(
+        F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")
+    ).distinct()
     banded = materialize(banded, "bands")
     buckets = banded.groupBy("band").agg(
-        F.min("id").alias("pivot"), F.max("id").alias("last")
-    ).where("pivot < last").select("band", "pivot")
+        F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("last")
+    ).where("pivot.id < last").select("band", "pivot")
     members = materialize(banded.join(buckets, "band"), "bucket-members")
-    stars = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    stars = materialize(stars.distinct(), "star-pairs")
+    stars = members.where(F.col("id") != F.col("pivot.id")).where(_sizes_fit("n", "pivot.n"))
+    stars = stars.groupBy(F.col("id").alias("a")).agg(F.min("pivot.id").alias("b"))
+    members = members.drop("pivot")
     met = members.select("id").distinct()
     own = texts.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     own = materialize(own.join(met, "id", "left_semi"), "candidate-texts")
@@ -216,12 +212,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = named.join(heads, "class").where("doc_id <> head")
     bridges = same.join(several, "doc_id", "left_semi")
     links = bridges.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).union(
-        materialize(_confirmed(stars.groupBy("a").agg(F.min("b").alias("b")), own), "links")
+        materialize(_confirmed(stars, own), "links")
     )
     groups = components(links)
-    for step in ("stars", "rest"):
-        pairs = stars if step == "stars" else _between_groups(members, groups)
-        more = materialize(_confirmed(_across(pairs, groups), own), "links")
+    for form_pairs in (_with_pivots, _between_groups):
+        pairs = form_pairs(_mixed_buckets(members, groups))
+        more = materialize(_confirmed(pairs, own), "links")
         if not more.isEmpty():
             links = links.union(more)
             groups = components(links)
@@ -244,24 +240,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _between_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different groups.
+def _sizes_fit(n: str, m: str) -> Column:
+    """Sets of these sizes can be near: the smaller one has at least the wanted share of the larger."""
+    return 100 * F.least(n, m) >= LEAST_PERCENT * F.greatest(n, m)
+
+
+def _mixed_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, id, n, g, first, most): the rows of buckets that hold two groups or more.
 
-    The group with most members of a bucket forms no pairs of its own: pairs have an end outside it.
-    Rows of a bucket meet by a join on the bucket, which may split.
+    g is the row's group, first the bucket's row with the smallest id, most the group with most rows.
     """
     named = members.join(groups, "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("g")
+        "band", "id", "n", F.coalesce("component", "id").alias("g")
+    )
+    sizes = named.groupBy("band", "g").agg(
+        F.count("*").alias("count"), F.min(F.struct("id", "n", "g")).alias("first")
     )
-    sizes = named.groupBy("band", "g").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(
-        F.max_by("g", F.struct("n", "g")).alias("most"), F.count("*").alias("n_groups")
+        F.max_by("g", F.struct("count", "g")).alias("most"),
+        F.min("first").alias("first"),
+        F.count("*").alias("n_groups"),
+    )
+    mixed = mixed.where("n_groups > 1").drop("n_groups")
+    return materialize(named.join(mixed, "band"), "mixed-buckets")
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """Pairs of a row with the smallest id of its bucket, where that is in another group."""
+    across = rows.where(F.col("g") != F.col("first.g")).where(_sizes_fit("n", "first.n"))
+    return across.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct()
+
+
+def _between_groups(rows: DataFrame) -> DataFrame:
+    """Pairs of one bucket and different groups whose sizes fit, other than those with its first row.
+
+    The group with most rows of a bucket forms no pairs of its own: pairs have an end outside it. Rows
+    of a bucket meet by a join on the bucket, which may split.
+    """
+    rest = rows.where(F.col("id") != F.col("first.id"))
+    left = rest.where("g <> most").select(
+        "band", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na")
+    )
+    right = rest.select(
+        "band", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), "most"
     )
-    mixed = mixed.where("n_groups > 1").select("band", "most")
-    rows = materialize(named.join(mixed, "band"), "mixed-buckets")
-    left = rows.where("g <> most").select("band", F.col("id").alias("a"), F.col("g").alias("ga"))
-    right = rows.select("band", F.col("id").alias("b"), F.col("g").alias("gb"), "most")
-    pairs = left.join(right, "band").where("ga <> gb and (gb = most or a > b)")
+    met = (F.col("ga") != F.col("gb")) & ((F.col("gb") == F.col("most")) | (F.col("a") > F.col("b")))
+    pairs = left.join(right, "band").where(met & _sizes_fit("na", "nb"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
