@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from adjudica.functions.attach import attach, long_form
 
-ONE_TASK_ROWS = 1_000_000  # known row count up to which `percentile` may hold all values of a column
 
 
 def count_values(frame: DataFrame, keys: Sequence[str], value: str, **sums: Column) -> DataFrame:
@@ -145,21 +144,9 @@ def quantile_row(
     frame: DataFrame,
     columns: Sequence[str],
     shares: Sequence[float],
-    known_rows: int | None = None,
 ) -> DataFrame:
-    """One row with an array of exact quantiles per column.
-
-    ``percentile`` keeps every distinct value of a column in one task, so it is used only where the
-    caller has counted the rows and the count is small.
-    """
+    """One row with an array of exact quantiles per column, by the same steps at every size."""
     shares = [float(s) for s in shares]
-    if known_rows is not None and known_rows <= ONE_TASK_ROWS:
-        return frame.agg(
-            *[
-                F.percentile(F.col(c).cast("double"), F.array(*[F.lit(s) for s in shares])).alias(c)
-                for c in columns
-            ]
-        )
     counted = count_values(long_form(frame, columns), ["feature"], "value")
     found = grouped_quantiles(counted, ["feature"], "value", shares)
     return found.groupBy().agg(

@@ -179,7 +179,7 @@ def fit_model(
     weighted = used.withColumn(WEIGHT, balanced_weight(counts, target))
     classifier = kind.estimator(params, rows)
     classifier.setLabelCol(target).setFeaturesCol("features").setWeightCol(WEIGHT)
-    prepared = preprocessor(list(numeric), list(categorical), bottleneck, known_rows=rows)
+    prepared = preprocessor(list(numeric), list(categorical), bottleneck)
     return Pipeline(stages=[*prepared.getStages(), classifier]).fit(weighted)
 
 

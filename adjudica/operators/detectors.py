@@ -33,7 +33,7 @@ class UnknownDetectorError(ValueError):
 def encode(frame: DataFrame, spec: TableSpec) -> DataFrame:
     """The frame with all its features, sensitive ones included, as the array of numbers ``x``."""
     rows = frame.count()
-    model = preprocessor(spec.numeric, spec.categorical, known_rows=rows).fit(frame)
+    model = preprocessor(spec.numeric, spec.categorical).fit(frame)
     return model.transform(frame).select(*frame.columns, vector_to_array("features").alias("x"))
 
 
@@ -55,21 +55,13 @@ def average_path(n: float) -> float:
 def tree_samples(encoded: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     """At most ``TREE_ROWS`` random rows for each tree: the sample the method is defined on.
 
-    A large table gives each tree rows of its own: one draw per row decides whether it takes part
-    and in which tree. A small table draws for every tree, as its rows must serve several trees.
+    Every row draws once for every tree, whatever the size of the table.
     """
-    share = 1.5 * TREE_ROWS / rows
-    if TREES * share <= 1.0:
-        u = _uniform(F.col(key), seed, 1)
-        taken = encoded.where(u < TREES * share).withColumn(
-            "tree", F.floor(u / share).cast("int")
-        )
-    else:
-        trees = F.filter(
-            F.sequence(F.lit(0), F.lit(TREES - 1)),
-            lambda t: _uniform(F.col(key), seed, t) < min(share, 1.0),
-        )
-        taken = encoded.withColumn("tree", F.explode(trees))
+    share = min(1.0, 1.5 * TREE_ROWS / rows)
+    trees = F.filter(
+        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: _uniform(F.col(key), seed, t) < share
+    )
+    taken = encoded.withColumn("tree", F.explode(trees))
     return taken.withColumn("order", F.xxhash64(key, F.col("tree"), F.lit(seed)))
 
 
@@ -258,7 +250,7 @@ def clean_training_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """Training rows without the consensus outliers, and all rows with their flags.
 
-    Only for training rows: removing holdout rows would flatter the evaluation.
+    Pass training rows alone; a holdout keeps its unusual applicants, so that it is scored whole.
     """
     voted = consensus(all_flags(frame, spec, contamination), LENSES, at_least)
     return remove_flagged(voted).select(*frame.columns), voted

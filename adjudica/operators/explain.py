@@ -5,6 +5,7 @@ The long table has one row per (key, encoded feature): ``feature``, ``value`` an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -60,27 +61,27 @@ def local_contributions(contributions: DataFrame, key: str, wanted: int) -> Data
 
 
 def readable(feature: Column, names: Mapping[str, str] = READABLE_NAMES) -> Column:
-    """A name a reader understands; a one-hot column reads as "label is value"."""
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    chosen = F.try_element_at(table, feature)
-    # Longest source first, so that a longer column name wins over its own prefix.
-    for source in sorted(names, key=len, reverse=True):
-        rest = F.replace(F.substr(feature, F.lit(len(source) + 2)), F.lit("_"), F.lit(" "))
-        one_hot = F.when(
-            F.startswith(feature, F.lit(f"{source}_")), F.concat(F.lit(f"{names[source]} is "), rest)
-        )
-        chosen = F.coalesce(chosen, one_hot)
-    return F.coalesce(chosen, F.replace(feature, F.lit("_"), F.lit(" ")))
-
-
-def readable_text(feature: str, names: Mapping[str, str] = READABLE_NAMES) -> str:
-    """The same wording for a name known before the query runs."""
-    if feature in names:
-        return names[feature]
-    for source in sorted(names, key=len, reverse=True):
-        if feature.startswith(f"{source}_"):
-            return f"{names[source]} is {feature[len(source) + 1 :].replace('_', ' ')}"
-    return feature.replace("_", " ")
+    """A name a reader understands; a one-hot column reads as "label is value".
+
+    One pattern cuts a one-hot name into its source column and its level.
+    """
+    labels = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    sources = "|".join(re.escape(s) for s in sorted(names, reverse=True))
+    pattern = f"^({sources})_(.*)$"
+    source = F.regexp_extract(feature, pattern, 1)
+    level = F.replace(F.regexp_extract(feature, pattern, 2), F.lit("_"), F.lit(" "))
+    return F.coalesce(
+        F.try_element_at(labels, feature),
+        F.concat(F.try_element_at(labels, source), F.lit(" is "), level),
+        F.replace(feature, F.lit("_"), F.lit(" ")),
+    )
+
+
+def slot_label(name: str, source: str, names: Mapping[str, str] = READABLE_NAMES) -> str:
+    """The wording of one slot of a feature vector, from its own and its source column's name."""
+    own = names.get(source, source.replace("_", " "))
+    level = name.removeprefix(f"{source}_") if name != source else ""
+    return f"{own} is {level.replace('_', ' ')}" if level else own
 
 
 def decision_reasons(

@@ -41,10 +41,9 @@ class MedianScaler(Estimator):
     Fitting gives a ``SQLTransformer`` that adds ``<c>__filled`` and ``<c>__scaled``.
     """
 
-    def __init__(self, columns: Sequence[str], known_rows: int | None = None) -> None:
+    def __init__(self, columns: Sequence[str]) -> None:
         super().__init__()
         self.columns = list(columns)
-        self.known_rows = known_rows
 
     def statistics(self, frame: DataFrame) -> dict[str, tuple[float, float, float]]:
         """Median, and mean and deviation after filling, of each column."""
@@ -59,7 +58,7 @@ class MedianScaler(Estimator):
                 for c in self.columns
             ],
         )
-        medians = quantile_row(frame, self.columns, [0.5], self.known_rows)
+        medians = quantile_row(frame, self.columns, [0.5])
         row = attach(moments, medians, name="_m").first()
         found = {}
         for c in self.columns:
@@ -115,7 +114,6 @@ def preprocessor(
     numeric: Sequence[str],
     categorical: Sequence[str],
     bottleneck: int | None = None,
-    known_rows: int | None = None,
     output: str = "features",
 ) -> Pipeline:
     """Numeric and categorical branches assembled into one vector; an empty branch is left out.
@@ -125,7 +123,7 @@ def preprocessor(
     stages: list = []
     inputs: list[str] = []
     if numeric:
-        stages.append(MedianScaler(numeric, known_rows))
+        stages.append(MedianScaler(numeric))
         inputs += [c + SCALED for c in numeric]
     if categorical:
         stages += category_stages(categorical)

@@ -41,32 +41,34 @@ def shuffled_copies(
 ) -> DataFrame:
     """Each row once per (feature, repeat) with that feature's value taken from another row.
 
-    Rows are put into buckets and ordered by a draw; every row takes the value of the row before
-    it, and the first row of a bucket that of the last one. A cyclic shift in random order is a
-    permutation, so the column keeps exactly its values.
+    All rows are ranked by one random draw, in buckets whose sizes are summed up; in repeat r each row
+    takes the values of the row r + 1 ranks further, the last ones those of the first. Such a shift in
+    random order is a permutation that leaves no row in its place, and serves all columns.
     """
-    plan = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"))
-            for c in columns
-            for r in range(repeats)
-        ]
+    drawn = frame.withColumn("_u", F.xxhash64(F.col(key), F.lit(seed)))
+    drawn = drawn.withColumn("_bucket", F.pmod("_u", F.lit(buckets)))
+    sizes = drawn.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("_bucket").alias("_b"), "_size").select(
+        "_b",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"),
+        F.sum("_size").over(Window.partitionBy()).alias("_n"),
     )
-    copies = frame.select("*", F.inline(plan))
-    text = F.concat_ws("|", F.col(key).cast("string"), "feature", F.col("repeat"), F.lit(str(seed)))
-    copies = copies.withColumn("_u", F.xxhash64(text))
-    copies = copies.withColumn("_bucket", F.pmod("_u", F.lit(buckets)))
-    inside = Window.partitionBy("feature", "repeat", "_bucket")
-    order = inside.orderBy("_u", key)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    values = F.struct(*columns)
-    copies = copies.withColumn("_from", F.coalesce(F.lag(values).over(order), F.last(values).over(whole)))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_u", key))
+    ranked = drawn.withColumn("_place", place).join(F.broadcast(sizes), F.col("_bucket") == F.col("_b"))
+    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_place") - 1)
+    donors = ranked.select(F.col("_rank").alias("_donor"), F.struct(*columns).alias("_from"))
+    shift = 1 + F.pmod(F.col("repeat"), F.greatest(F.col("_n") - 1, F.lit(1)))
+    copies = ranked.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    copies = copies.withColumn("_donor", F.pmod(F.col("_rank") + shift, F.col("_n")))
+    copies = copies.join(donors, "_donor").select(*frame.columns, "repeat", "_from")
+    copies = copies.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
     return copies.withColumns(
         {
             c: F.when(F.col("feature") == c, F.col(f"_from.{c}")).otherwise(F.col(c))
             for c in columns
         }
-    ).drop("_u", "_bucket", "_from")
+    ).drop("_from")
 
 
 def permutation_ranking(
@@ -98,7 +100,7 @@ def rank_features(
 ) -> DataFrame:
     """Consensus of the three rankings; each has one row per feature."""
     gain = DEFAULT_MODEL if name == "logistic_regression" else name
-    gain_params = params if gain == name else {"maxIter": 20}
+    gain_params = params if gain == name else None
     scores = (
         information_ranking(frame, spec, columns)
         .withColumnRenamed("mutual_info", "mutual_information")

@@ -24,7 +24,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adjudica.operators.explain import readable_text, reason_columns
+from adjudica.operators.explain import reason_columns, slot_label
 from adjudica.operators.preprocess import FILLED, encoded_names
 from adjudica.session import new_path
 from adjudica.spec import KNOBS, READABLE_NAMES
@@ -218,8 +218,8 @@ def explain_decisions(
     wide, _ = _wide(model, frame, key)
     features = F.array(
         *[
-            F.struct(F.lit(name).alias("feature"), F.lit(readable_text(name, names)).alias("label"))
-            for name, _ in encoded_names(model)
+            F.struct(F.lit(name).alias("feature"), F.lit(slot_label(name, source, names)).alias("label"))
+            for name, source in encoded_names(model)
         ]
     )
     entries = F.zip_with(

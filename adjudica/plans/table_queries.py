@@ -20,12 +20,6 @@ def per_column(columns, text: str, joiner: str = "\nUNION ALL\n") -> str:
     return joiner.join(text.replace("{c}", c) for c in columns)
 
 
-def _round_all(columns: str, source: str, plain: str = "") -> str:
-    rounded_columns = ", ".join(f"round({c}, 6) AS {c}" for c in columns.split())
-    head = ", ".join(x for x in (plain, rounded_columns) if x)
-    return f"SELECT {head} FROM {source}"
-
-
 APPLICANT_COLUMNS = (
     "applicant_id, Age, round(Income, 6) AS Income, round(LoanAmount, 6) AS LoanAmount, CreditScore, "
     "YearsExperience, Gender, Education, City, EmploymentType, LoanApproved"

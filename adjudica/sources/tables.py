@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,24 +43,35 @@ def cast_declared(frame: DataFrame, spec: TableSpec) -> DataFrame:
     return frame.select(*columns)
 
 
+# The spellings of a missing value in CSV files.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
 def _read_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     """Every field as text first, so that each spelling of a missing value becomes null."""
     header = spark.read.option("header", True).csv(path)
-    blanks = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None"]
     text = header.select(
-        *[F.when(~F.trim(F.col(c)).isin(blanks), F.trim(F.col(c))).alias(c) for c in header.columns]
+        *[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in header.columns]
     )
-    # A whole number may be written with a decimal point.
     declared = spec.types()
     return text.select(
         *[
-            (F.col(c).cast("double").cast("long") if declared.get(c) == T.LongType() else F.col(c))
-            .alias(c)
+            (_whole_number(F.col(c), c) if declared.get(c) == T.LongType() else F.col(c)).alias(c)
             for c in text.columns
         ]
     )
 
 
+def _whole_number(text: Column, name: str) -> Column:
+    """All digits of a long; only what is no long may be written with a decimal point."""
+    wrong = F.raise_error(F.concat(F.lit(f"not a whole number in {name}: "), text)).cast("long")
+    number = F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"), wrong)
+    return F.when(text.isNotNull(), number)
+
+
 def read_table(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     """A parquet table if the path ends in ``.parquet``, otherwise CSV with a header, typed."""
     if path.rstrip("/").endswith(".parquet"):
@@ -107,7 +118,7 @@ def training_input(
     processed: str | None = None,
     raw: str | None = None,
 ) -> DataFrame:
-    """A given path as it is, else the processed table, else the raw file repaired on the fly."""
+    """Rows whose whole numbers are never null: a given path, else the processed table, else the raw file repaired on the fly."""
     if path is not None:
         frame, source = read_table(spark, path, spec), path
     elif processed is not None and _exists(spark, processed):
@@ -117,7 +128,7 @@ def training_input(
     else:
         raise FileNotFoundError("no training table was given")
     require_columns(frame, [*spec.features, spec.target], source)
-    return frame
+    return check_whole_numbers(frame, spec)
 
 
 def scoring_input(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:

@@ -112,16 +112,16 @@ def test_one_standard_error_rule(spark):
 
 
 @pytest.mark.parametrize(
-    "name, text",
+    "name, source, text",
     [
-        ("CreditScore", "credit score"),
-        ("EmploymentType_Self-Employed", "employment is Self-Employed"),
-        ("credit_band_near_prime", "credit band is near prime"),
-        ("income_missing", "missing income"),
-        ("Income_high", "income is high"),
-        ("other_column", "other column"),
+        ("CreditScore", "CreditScore", "credit score"),
+        ("EmploymentType_Self-Employed", "EmploymentType", "employment is Self-Employed"),
+        ("credit_band_near_prime", "credit_band", "credit band is near prime"),
+        ("income_missing", "income_missing", "missing income"),
+        ("Income_high", "Income", "income is high"),
+        ("other_column", "other_column", "other column"),
     ],
 )
-def test_readable_names(spark, name, text):
+def test_readable_names(spark, name, source, text):
     row = spark.createDataFrame([(name,)], "f string").select(explain.readable(F.col("f"))).first()
-    assert row[0] == text == explain.readable_text(name)
+    assert row[0] == text == explain.slot_label(name, source)
