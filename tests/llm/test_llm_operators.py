@@ -297,7 +297,7 @@ def test_surrogates(spark, small):
 
 
 def test_surrogates_stay_distinct(spark):
-    numbers = [("phone", f"{k:03d}", "", "latin") for k in range(0, 60)]
+    numbers = [("phone", f"{k:04d}", "", "latin") for k in range(0, 600, 10)]
     entities = spark.createDataFrame(numbers, "kind string, core string, gender string, script string")
     made = surrogates.surrogate_table(entities, "k").collect()
     assert len(made) == 60 == len({r["surrogate"] for r in made})
