@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from adjudica.operators.preprocess import preprocessor
 from adjudica.spec import KNOBS
 
-WEIGHT = "__class_weight"
+WEIGHT, CENTRED = "__class_weight", "__centred"
 
 
 class UnknownModelError(ValueError):
@@ -170,7 +171,8 @@ def fit_model(
     """Fit preprocessing and classifier on the training rows alone.
 
     Class weights, medians, encoders and the classifier all come from ``train``, so a fold's fit
-    never sees the rows it is later scored on.
+    never sees the rows it is later scored on. A linear model keeps the means of its inputs, from which
+    its explanations start; scoring does not compute that column.
     """
     kind = get_model(name)
     used = train.select(target, *numeric, *categorical).where(F.col(target).isNotNull())
@@ -180,7 +182,11 @@ def fit_model(
     classifier = kind.estimator(params, rows)
     classifier.setLabelCol(target).setFeaturesCol("features").setWeightCol(WEIGHT)
     prepared = preprocessor(list(numeric), list(categorical), bottleneck)
-    return Pipeline(stages=[*prepared.getStages(), classifier]).fit(weighted)
+    stages = [*prepared.getStages(), classifier]
+    if isinstance(classifier, LogisticRegression):
+        means = StandardScaler(inputCol="features", outputCol=CENTRED, withMean=True, withStd=False)
+        stages.insert(-1, means)
+    return Pipeline(stages=stages).fit(weighted)
 
 
 def score_rows(model: PipelineModel, frame: DataFrame, p: str = "p") -> DataFrame:

@@ -32,7 +32,6 @@ class UnknownDetectorError(ValueError):
 
 def encode(frame: DataFrame, spec: TableSpec) -> DataFrame:
     """The frame with all its features, sensitive ones included, as the array of numbers ``x``."""
-    rows = frame.count()
     model = preprocessor(spec.numeric, spec.categorical).fit(frame)
     return model.transform(frame).select(*frame.columns, vector_to_array("features").alias("x"))
 

@@ -19,8 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import StandardScalerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,7 +161,8 @@ def _wide(model: PipelineModel, frame: DataFrame, key: str) -> tuple[DataFrame,
     rows = encoded.select(key, p, x.alias("x"), F.array(*shown).alias("shown"))
     classifier = model.stages[-1]
     if isinstance(classifier, LogisticRegressionModel):
-        means = encoded.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
+        # The means of the training rows, so that a row's contributions do not depend on its batch.
+        means = next(s for s in model.stages if isinstance(s, StandardScalerModel)).mean.toArray()
         weights = classifier.coefficients.toArray()
         base = float(classifier.intercept + means @ weights)
         part = [

@@ -31,10 +31,9 @@ from adjudica.plans.registry import query, rounded, steps
 from adjudica.plans.table_queries import ALL_CATEGORICAL, ALL_NUMERIC, DOCS, TARGET, per_column
 from adjudica.session import materialize, new_path
 from adjudica.sources import catalog, fingerprints, fixtures, runs, tables
-from adjudica.spec import APPLICANTS, ENGINEERED
+from adjudica.spec import APPLICANTS, ENGINEERED, KNOBS
 from adjudica.streaming import scoring
 
-FOLDS = 3
 LINEAR = validation.ModelPlan(
     TARGET, tuple(ALL_NUMERIC), tuple(ALL_CATEGORICAL), "logistic_regression"
 )
@@ -43,7 +42,7 @@ BOOSTED = validation.ModelPlan(
 )
 
 
-def folded(spark, folder, folds: int = FOLDS):
+def folded(spark, folder, folds: int = KNOBS.folds):
     """The engineered table with folds, stored once because every fit reads it again."""
     frame = fixtures.engineered(spark, folder)
     return materialize(splits.assign_folds(frame, ENGINEERED, folds), "folded")
@@ -273,12 +272,12 @@ def file_fingerprints(spark, folder):
 
 @query("cv_score")
 def cv_score(spark, folder):
-    return validation.fold_scores(folded(spark, folder), LINEAR, FOLDS)
+    return validation.fold_scores(folded(spark, folder), LINEAR)
 
 
 @query("oof")
 def oof(spark, folder):
-    return validation.out_of_fold(folded(spark, folder), LINEAR, FOLDS, ["applicant_id"])
+    return validation.out_of_fold(folded(spark, folder), LINEAR, keep=["applicant_id"])
 
 
 @query("model_comparison")
@@ -294,14 +293,15 @@ def model_comparison(spark, folder):
 
 @query("calibrated")
 def calibrated(spark, folder):
-    frame = folded(spark, folder)
-    model = validation.calibrate(frame, LINEAR, FOLDS)
-    return metrics.score_report(model.score(frame), y=TARGET)
+    """Fitted on the training rows and reported on the holdout, which no fold model has seen."""
+    marked = materialize(splits.mark_holdout(folded(spark, folder), ENGINEERED), "marked")
+    model = validation.calibrate(marked.where("not is_holdout"), LINEAR)
+    return metrics.score_report(model.score(marked.where("is_holdout")), y=TARGET)
 
 
 @query("learning_curve")
 def learning_curve(spark, folder):
-    return validation.learning_curve(folded(spark, folder, 2), LINEAR, "applicant_id", 2, 4)
+    return validation.learning_curve(folded(spark, folder), LINEAR, "applicant_id")
 
 
 @query("tuned")
@@ -313,7 +313,7 @@ def tuned(spark, folder):
 @query("gain_rank")
 def gain_rank(spark, folder):
     frame = materialize(fixtures.engineered(spark, folder))
-    return rankings.gain_ranking(frame, ENGINEERED, ENGINEERED.candidates, params={"maxIter": 10})
+    return rankings.gain_ranking(frame, ENGINEERED, ENGINEERED.candidates)
 
 
 @query("perm_rank")
@@ -405,7 +405,7 @@ def clean_train(spark, folder):
 @query("embedding")
 def embedding(spark, folder):
     frame = materialize(fixtures.engineered(spark, folder))
-    model = preprocessor(APPLICANTS.numeric, [], 3, frame.count()).fit(frame)
+    model = preprocessor(APPLICANTS.numeric, [], 3).fit(frame)
     return model.transform(frame).select("applicant_id", *[f"autoencoder_{i}" for i in range(3)])
 
 

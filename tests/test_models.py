@@ -260,3 +260,14 @@ def test_figure_tables_of_a_tuned_run(spark, small):
     found = training.figure_tables(outcome, folds=2, sizes=2)
     assert {"tuning_history", "param_effect", "roc_points", "learning_curve"} <= set(found)
     assert all(table.count() > 0 for table in found.values())
+
+
+def test_linear_explanation_of_one_row_is_that_of_the_whole_table(engineered):
+    model = LINEAR.fit(engineered)
+    key = engineered.agg(F.min("applicant_id")).first()[0]
+    one = engineered.where(F.col("applicant_id") == key)
+    whole, base = tree_contributions.explain_model(model, engineered, "applicant_id")
+    alone, base_alone = tree_contributions.explain_model(model, one, "applicant_id")
+    wanted = {r["feature"]: r["contribution"] for r in whole.where(F.col("applicant_id") == key).collect()}
+    found = {r["feature"]: r["contribution"] for r in alone.collect()}
+    assert base == base_alone and found == wanted and any(found.values())
