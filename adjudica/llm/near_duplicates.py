@@ -18,6 +18,8 @@ SHINGLE_WORDS, LEAST_PERCENT = 5, 75
 SIGNATURE, BANDS, BAND_ROWS = 256, 51, 5
 #: Elements of a text that take their steps together; bounds memory, changes no value.
 CHUNK = 4096
+#: Bits of a set's bitmap; a power of two. Longer sets than this fill it and are ruled out less often.
+BITMAP = 2048
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -89,13 +91,20 @@ def band_values(signature: np.ndarray) -> list[int]:
     return mixed.view(np.int64).tolist()
 
 
+def bitmap(elements: np.ndarray) -> list[int]:
+    """A bit for each element, at the place its highest bits name, as 64-bit values."""
+    flags = np.zeros(BITMAP, dtype=bool)
+    flags[(elements >> np.uint64(65 - BITMAP.bit_length())).astype(np.int64)] = True
+    return np.packbits(flags).view(np.int64).tolist()
+
+
 def is_near(a: np.ndarray, b: np.ndarray) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common > 0 and 100 * common >= LEAST_PERCENT * (len(a) + len(b) - common)
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, bands): equal sets have equal classes, empty sets have none."""
+    """(doc_id, n_shingles, class, bands, bits): equal sets have equal classes, empty sets have none."""
 
     def work(batches):
         for batch in batches:
@@ -107,10 +116,13 @@ def _signed(texts: DataFrame) -> DataFrame:
                     hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets
                 ],
                 "bands": [band_values(super_minhash(s)) if len(s) else [] for s in sets],
+                "bits": [bitmap(s) for s in sets],
             }
 
     return map_batches(
-        texts, work, "doc_id long, n_shingles long, class binary, bands array<bigint>"
+        texts,
+        work,
+        "doc_id long, n_shingles long, class binary, bands array<bigint>, bits array<bigint>",
     )
 
 
@@ -176,8 +188,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        its buckets. Only buckets that still hold different groups go on: there, each id outside the
        group of the bucket's first id is compared with that one.
     3. What is left are ids of one bucket in different groups. Each such pair is compared, once.
-    All comparisons are on full sets; pairs whose sizes alone rule out a link are not formed. A group of near copies, however large, costs one comparison per
-    member; pairs within a bucket are only formed between groups that no link has joined.
+    All comparisons are on full sets; pairs that sizes or bitmaps alone rule out are not formed, which
+    loses no link. Copies linked to one text, however many, cost one comparison each; pairs within a
+    bucket are only formed between groups that no link has joined. Texts that share bands and are not
+    near still meet there, bitmap against bitmap, inside the join: that part grows with the square of
+    their number.
 
     Empty and null texts have no shingles and stay alone. Rows with a null id get a null component and
     are kept; repeated ids are one node. An empty table gives no row.
@@ -202,6 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = members.where(F.col("id") != F.col("pivot.id")).where(_sizes_fit("n", "pivot.n"))
     stars = stars.groupBy(F.col("id").alias("a")).agg(F.min("pivot.id").alias("b"))
     members = members.drop("pivot")
+    bits = of_head.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits").distinct()
     met = members.select("id").distinct()
     own = texts.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     own = materialize(own.join(met, "id", "left_semi"), "candidate-texts")
@@ -216,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     groups = components(links)
     for form_pairs in (_with_pivots, _between_groups):
-        pairs = form_pairs(_mixed_buckets(members, groups))
+        pairs = form_pairs(_mixed_buckets(members, groups), bits)
         more = materialize(_confirmed(pairs, own), "links")
         if not more.isEmpty():
             links = links.union(more)
@@ -245,6 +261,17 @@ def _sizes_fit(n: str, m: str) -> Column:
     return 100 * F.least(n, m) >= LEAST_PERCENT * F.greatest(n, m)
 
 
+def _bits_fit(n: str, m: str, bits_a: str, bits_b: str) -> Column:
+    """Sets of these sizes and bitmaps can be near.
+
+    A bit that only one of them has stands for an element or more that only this one has, so the
+    differing bits are at most the differing elements; near sets differ in a fixed share of n + m.
+    """
+    differing = F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    count = F.aggregate(differing, F.lit(0), lambda total, k: total + k)
+    return (100 + LEAST_PERCENT) * count <= (100 - LEAST_PERCENT) * (F.col(n) + F.col(m))
+
+
 def _mixed_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(band, id, n, g, first, most): the rows of buckets that hold two groups or more.
 
@@ -265,27 +292,27 @@ def _mixed_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     return materialize(named.join(mixed, "band"), "mixed-buckets")
 
 
-def _with_pivots(rows: DataFrame) -> DataFrame:
+def _with_pivots(rows: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs of a row with the smallest id of its bucket, where that is in another group."""
     across = rows.where(F.col("g") != F.col("first.g")).where(_sizes_fit("n", "first.n"))
     return across.select(F.col("id").alias("a"), F.col("first.id").alias("b")).distinct()
 
 
-def _between_groups(rows: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different groups whose sizes fit, other than those with its first row.
+def _between_groups(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs of one bucket and different groups that can be near, other than those with its first row.
 
     The group with most rows of a bucket forms no pairs of its own: pairs have an end outside it. Rows
     of a bucket meet by a join on the bucket, which may split.
     """
-    rest = rows.where(F.col("id") != F.col("first.id"))
-    left = rest.where("g <> most").select(
-        "band", F.col("id").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na")
-    )
-    right = rest.select(
-        "band", F.col("id").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), "most"
-    )
+    rest = rows.where(F.col("id") != F.col("first.id")).join(bits, ["id", "n"])
+    rest = materialize(rest.select("band", "id", "n", "g", "most", "bits"), "rows-to-meet")
+    names_a = {"id": "a", "g": "ga", "n": "na", "bits": "bits_a"}
+    names_b = {"id": "b", "g": "gb", "n": "nb", "bits": "bits_b"}
+    left = rest.where("g <> most").drop("most").withColumnsRenamed(names_a)
+    right = rest.withColumnsRenamed(names_b)
     met = (F.col("ga") != F.col("gb")) & ((F.col("gb") == F.col("most")) | (F.col("a") > F.col("b")))
-    pairs = left.join(right, "band").where(met & _sizes_fit("na", "nb"))
+    can_be_near = _sizes_fit("na", "nb") & _bits_fit("na", "nb", "bits_a", "bits_b")
+    pairs = left.join(right, "band").where(met & can_be_near)
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

@@ -277,6 +277,23 @@ def test_super_minhash_estimates_the_similarity():
     assert abs(np.mean(errors)) < 0.02
 
 
+def test_bitmaps_rule_out_no_near_pair(spark):
+    from numpy.random import default_rng
+
+    draw = default_rng(5)
+    rows, near = [], []
+    for k, size in enumerate([1, 2, 7, 40, 300, 3000] * 30):
+        pool = draw.integers(0, 2**64, 2 * size, dtype="uint64")
+        gone, new = draw.integers(0, 1 + size // 3, 2)
+        a, b = pool[:size], pool[gone : size + new]
+        near.append(near_duplicates.is_near(a, b))
+        rows.append((k, len(a), len(b), near_duplicates.bitmap(a), near_duplicates.bitmap(b)))
+    frame = spark.createDataFrame(rows, "k long, n long, m long, x array<bigint>, y array<bigint>")
+    fits = frame.select("k", near_duplicates._bits_fit("n", "m", "x", "y").alias("fit")).collect()
+    assert all(r["fit"] for r in fits if near[r["k"]]) and 20 < sum(near) < 170
+    assert not all(r["fit"] for r in fits)
+
+
 def test_surrogates(spark, small):
     text = [
         (1, "Mr. Smith, Anna Jones, +1 (425) 555-9684, a.b9@m1.example.com, A.B9@M1.EXAMPLE.COM"),
