@@ -145,18 +145,31 @@ def _email(core: Column, digest: Column, domain_digest: Column) -> Column:
     )
 
 
-def _name(gender: Column, script: Column, digest: Column) -> Column:
+def _given(gender: Column, script: Column, digest: Column) -> Column:
     chosen = None
     for (a_script, a_gender), names in GIVEN.items():
-        parts = [_pick(SYLLABLES[a_script], digest, at) for at in (4, 8, 12)]
-        made = F.concat(_pick(names, digest, 0), F.lit(" "), F.initcap(F.concat(*parts)))
-        hit = (script == a_script) & (gender == a_gender)
+        hit, made = (script == a_script) & (gender == a_gender), _pick(names, digest, 0)
         chosen = F.when(hit, made) if chosen is None else chosen.when(hit, made)
     return chosen
 
 
+def _surname(script: Column, digest: Column) -> Column:
+    latin, cyrillic = (
+        F.concat(*[_pick(SYLLABLES[a_script], digest, at) for at in (4, 8, 12)])
+        for a_script in ("latin", "cyrillic")
+    )
+    return F.when(script == "latin", latin).otherwise(cyrillic)
+
+
+def _last(core: Column) -> Column:
+    return F.substring_index(core, " ", -1)
+
+
 def surrogate(frame: DataFrame, key: str, attempt: int) -> Column:
-    """The surrogate core of an entity row (kind, core, gender, script) at one attempt."""
+    """The surrogate core of an entity row (kind, core, gender, script) at one attempt.
+
+    A full name keeps its real surname here; ``entity_surrogates`` puts the mapped one in its place.
+    """
     kind, core = F.col("kind"), F.col("core")
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, "gender", core), 512)
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(core, "@", -1)), 512)
@@ -171,7 +184,11 @@ def surrogate(frame: DataFrame, key: str, attempt: int) -> Column:
             ),
         )
         .when(kind == "ip", octets)
-        .when(kind == "name", F.lower(_name(F.col("gender"), F.col("script"), digest)))
+        .when(kind == "surname", _surname(F.col("script"), digest))
+        .when(
+            kind == "name",
+            F.concat_ws(" ", F.lower(_given(F.col("gender"), F.col("script"), digest)), _last(core)),
+        )
         .otherwise(_numbers(core, kind, digest))
     )
 
@@ -200,6 +217,33 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no free surrogate after {ATTEMPTS} attempts")
 
 
+def _with_surnames(entities: DataFrame) -> DataFrame:
+    """Surnames as entities of their own; of the names only those with a given name stay."""
+    surname = _last(F.col("core"))
+    script = F.when(surname.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    surnames = entities.where("kind = 'name'").select(
+        F.lit("surname").alias("kind"), surname.alias("core"), F.lit("").alias("gender"), script.alias("script")
+    )
+    rest = entities.where((F.col("kind") != "name") | F.col("core").contains(" "))
+    return rest.select("kind", "core", "gender", "script").union(surnames.distinct())
+
+
+def entity_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, core, surrogate) where a name is a given name's surrogate and the surname's, or the surname's.
+
+    A surname has one surrogate wherever it stands, and no two surnames share one. Full names with the
+    same surname get different given names.
+    """
+    table = surrogate_table(_with_surnames(entities), key)
+    surnames = table.where("kind = 'surname'").select(
+        F.col("core").alias("surname"), F.col("surrogate").alias("mapped")
+    )
+    alone = surnames.select(F.lit("name").alias("kind"), F.col("surname").alias("core"), F.col("mapped").alias("surrogate"))
+    full = table.where("kind = 'name'").withColumn("surname", _last(F.col("core"))).join(surnames, "surname")
+    full = full.select("kind", "core", F.concat_ws(" ", F.substring_index("surrogate", " ", 1), F.col("mapped")).alias("surrogate"))
+    return table.where("kind not in ('name', 'surname')").union(full).union(alone)
+
+
 def _written(kind: Column, value: Column, made: Column) -> Column:
     """The surrogate core in the format of one occurrence."""
     digits = F.array_join(
@@ -219,10 +263,7 @@ def _written(kind: Column, value: Column, made: Column) -> Column:
     secret = F.regexp_extract(value, r"([A-Za-z0-9_+/-]+)$", 1)
     loud = (F.upper(secret) == secret) & secret.rlike("^[0-9A-F]+$")
     title = F.regexp_extract(value, "(" + _TITLE + ")", 1)
-    bare = F.regexp_replace(value, _TITLE, "")
-    full = F.when(bare.contains(" "), F.initcap(made)).otherwise(
-        F.initcap(F.substring_index(made, " ", -1))
-    )
+    full = F.initcap(made)
     return (
         F.when(kind == "email", F.when(shouted, F.upper(made)).otherwise(made))
         .when(kind == "secret", F.concat(before_secret, F.when(loud, F.upper(made)).otherwise(made)))
@@ -265,7 +306,7 @@ def replace_personal_data(
     )
     found = materialize(found, "entity-places")
     entities = found.groupBy("kind", "core").agg(F.min("gender").alias("gender"), F.min("script").alias("script"))
-    table = surrogate_table(entities, key)
+    table = entity_surrogates(entities, key)
     written = found.join(table, ["kind", "core"]).select(
         "key", "at", "kind", _written(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new")
     )

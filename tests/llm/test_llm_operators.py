@@ -321,6 +321,18 @@ def test_surrogates_stay_distinct(spark):
     assert not {r["surrogate"] for r in made} & {core for _, core, _, _ in numbers}
 
 
+def test_titled_surnames_stay_distinct_and_follow_full_names(spark):
+    letters = "abcdefghij"
+    made_up = [f"X{a}{b}{c}o" for a in letters for b in letters for c in letters]
+    text = [(k, f"Mr. {name} met John {name}, Mr. Paul {name} and Mary {name}.") for k, name in enumerate(made_up)]
+    frame = spark.createDataFrame(text, "doc_id long, text string")
+    out = [r["text"] for r in surrogates.replace_personal_data(frame, "k").select("text").collect()]
+    shape = re.compile(r"Mr\. (\w+) met (\w+) (\w+), Mr\. (\w+) (\w+) and (\w+) (\w+)\.")
+    found = [shape.fullmatch(t).groups() for t in out]
+    assert len({f[0] for f in found}) == len(made_up) and not {f[0] for f in found} & set(made_up)
+    assert all(f[0] == f[2] == f[4] == f[6] and f[1] != f[3] for f in found)
+
+
 def test_line_field_marginals_equal_enumeration():
     import itertools
 
