@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.llm.columns import row_key
@@ -44,8 +46,12 @@ PATTERNS = {
 TELLTALE = "[0-9@=:]"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TITLE = "^(?:" + TITLES["m"] + "|" + TITLES["f"] + r")\.? "
-#: Attempts at a surrogate that no other entity has, before the job gives up.
-ATTEMPTS = 50
+#: Draws in the format of the value; numbers and addresses still open then get the free values left.
+ROUNDS = 12
+#: Kinds whose format fixes the length, so that their values can be listed.
+LISTED = ("ssn", "phone", "card", "ip")
+#: Rows that one task ranks.
+RANKED_ROWS = 100_000
 
 
 def _starts(kind: str) -> str:
@@ -129,7 +135,7 @@ def _numbers(core: Column, kind: Column, digest: Column) -> Column:
     return F.when(valid, F.concat(body, check.cast("string"))).otherwise(drawn)
 
 
-def _email(core: Column, digest: Column, domain_digest: Column) -> Column:
+def _email(core: Column, digest: Column, domain_digest: Column, longer: Column) -> Column:
     local = F.substring_index(core, "@", 1)
     ending = F.regexp_extract(core, r"\.(com|org|net)$", 1)
     host = F.array_join(
@@ -140,23 +146,27 @@ def _email(core: Column, digest: Column, domain_digest: Column) -> Column:
         "",
     )
     return F.concat(
-        _replace_characters(local, digest, "abcdefghijklmnopqrstuvwxyz"),
+        _replace_characters(local, digest, "abcdefghijklmnopqrstuvwxyz"), longer,
         F.lit("@"), host, F.lit(".example."), F.when(ending == "", "org").otherwise(ending),
     )
 
 
-def _given(gender: Column, script: Column, digest: Column) -> Column:
+def _syllables(script: str, digest: Column, n: int, first: int = 4) -> list[Column]:
+    return [_pick(SYLLABLES[script], digest, first + 2 * i) for i in range(n)]
+
+
+def _given(gender: Column, script: Column, digest: Column, longer: int) -> Column:
     chosen = None
     for (a_script, a_gender), names in GIVEN.items():
-        hit, made = (script == a_script) & (gender == a_gender), _pick(names, digest, 0)
+        made = F.concat(*_syllables(a_script, digest, longer), _pick(names, digest, 0))
+        hit = (script == a_script) & (gender == a_gender)
         chosen = F.when(hit, made) if chosen is None else chosen.when(hit, made)
     return chosen
 
 
-def _surname(script: Column, digest: Column) -> Column:
+def _surname(script: Column, digest: Column, longer: int) -> Column:
     latin, cyrillic = (
-        F.concat(*[_pick(SYLLABLES[a_script], digest, at) for at in (4, 8, 12)])
-        for a_script in ("latin", "cyrillic")
+        F.concat(*_syllables(a_script, digest, 3 + longer)) for a_script in ("latin", "cyrillic")
     )
     return F.when(script == "latin", latin).otherwise(cyrillic)
 
@@ -169,28 +179,94 @@ def surrogate(frame: DataFrame, key: str, attempt: int) -> Column:
     """The surrogate core of an entity row (kind, core, gender, script) at one attempt.
 
     A full name keeps its real surname here; ``entity_surrogates`` puts the mapped one in its place.
+    The space grows with the attempt: names by syllables, e-mail addresses and secrets by characters,
+    and after ``ROUNDS`` numbers by digits and addresses by octets over 255.
     """
+    longer = min(attempt // 4, 20)
+    beyond = max(attempt - ROUNDS + 1, 0)
     kind, core = F.col("kind"), F.col("core")
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, "gender", core), 512)
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(core, "@", -1)), 512)
-    octets = F.concat_ws(".", *[(_byte(digest, k) % 254 + 1).cast("string") for k in range(4)])
+    more = F.sha2(F.concat(digest, F.lit("more")), 512)
+    tail, digits = F.substr(more, F.lit(1), F.lit(longer)), F.translate(more, "abcdef", "012345")
+    octet = (lambda k: _byte(digest, k) % 254 + 1) if not beyond else (
+        lambda k: (_byte(digest, 2 * k) * 256 + _byte(digest, 2 * k + 1)) % 744 + 256
+    )
+    octets = F.concat_ws(".", *[octet(k).cast("string") for k in range(4)])
     is_hex = core.rlike("^[0-9a-f]+$")
     return (
-        F.when(kind == "email", _email(core, digest, domain))
+        F.when(kind == "email", _email(core, digest, domain, tail))
         .when(
             kind == "secret",
-            F.when(is_hex, _replace_characters(core, digest, "abcdef")).otherwise(
-                _replace_characters(core, digest, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ")
+            F.concat(
+                F.when(is_hex, _replace_characters(core, digest, "abcdef")).otherwise(
+                    _replace_characters(core, digest, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ")
+                ),
+                tail,
             ),
         )
         .when(kind == "ip", octets)
-        .when(kind == "surname", _surname(F.col("script"), digest))
+        .when(kind == "surname", _surname(F.col("script"), digest, longer))
         .when(
             kind == "name",
-            F.concat_ws(" ", F.lower(_given(F.col("gender"), F.col("script"), digest)), _last(core)),
+            F.concat_ws(" ", F.lower(_given(F.col("gender"), F.col("script"), digest, longer)), _last(core)),
         )
-        .otherwise(_numbers(core, kind, digest))
+        .otherwise(F.concat(_numbers(core, kind, digest), F.substr(digits, F.lit(1), F.lit(beyond))))
+    )
+
+
+def _ranked(frame: DataFrame, by: Column) -> DataFrame:
+    """``frame`` with ``rank`` 1, 2, … over all rows, counted in parts of about ``RANKED_ROWS``."""
+    parts = frame.count() // RANKED_ROWS + 1
+    table = frame.withColumn("by", by).withColumn("part", F.pmod(F.xxhash64("by"), F.lit(parts)))
+    before, starts = 0, []
+    for part, n in sorted(table.groupBy("part").count().collect()):
+        starts.append((part, before))
+        before += n
+    starts = frame.sparkSession.createDataFrame(starts, "part long, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("by"))
+    table = table.withColumn("place", place).join(F.broadcast(starts), "part")
+    return table.withColumn("rank", F.col("before") + F.col("place")).drop("by", "part", "before", "place")
+
+
+def _values(frame: DataFrame, kind: str, length: int, first: str | None, valid: bool) -> DataFrame:
+    """Every value of a format; 12 draws leave entities open only where these are hardly more than they."""
+    spark = frame.sparkSession
+    if kind == "ip":
+        at = spark.range(254**4)
+        octets = [F.expr(f"cast(id div {254**k} % 254 + 1 as string)") for k in (3, 2, 1, 0)]
+        return at.select(F.concat_ws(".", *octets).alias("surrogate"))
+    width = length - (first is not None) - valid
+    body = F.lpad(F.col("id").cast("string"), width, "0") if width else F.lit("")
+    body = F.concat(F.lit(first or ""), body)
+    made = spark.range(10**width).select(body.alias("body"))
+    check = ((10 - _luhn(F.concat("body", F.lit("0")))) % 10).cast("string")
+    return made.select((F.concat("body", check) if valid else F.col("body")).alias("surrogate"))
+
+
+def _free_values(open_ones: DataFrame, taken: DataFrame, key: str, keep_first: bool) -> DataFrame | None:
+    """(kind, core, surrogate): open numbers and addresses joined with free values of their format by rank."""
+    first = F.substr("core", F.lit(1), F.lit(1)) if keep_first else F.lit(None).cast("string")
+    ip, card = F.col("kind") == "ip", F.col("kind") == "card"
+    formats = open_ones.where(F.col("kind").isin(*LISTED)).select(
+        "kind", "core",
+        F.when(ip, 0).otherwise(F.length("core")).alias("length"),
+        F.when(~ip, first).alias("first"),
+        F.when(card, _luhn(F.col("core")) == 0).otherwise(False).alias("valid"),
     )
+    found = None
+    for kind, length, digit, valid in formats.select("kind", "length", "first", "valid").distinct().collect():
+        same = (F.col("kind") == kind) & (F.col("length") == length) & (F.col("valid") == valid)
+        waiting = formats.where(same & F.col("first").eqNullSafe(F.lit(digit))).select("kind", "core")
+        used = taken.where(F.col("kind") == kind).select("surrogate")
+        free = _values(open_ones, kind, length, digit, valid).join(used, "surrogate", "left_anti")
+        free = _ranked(materialize(free, "free-values"), F.sha2(F.concat(F.lit(key + "|"), "surrogate"), 256))
+        given = _ranked(waiting, F.col("core")).join(free, "rank").select("kind", "core", "surrogate")
+        # Stored at once: values of the next format must not meet these.
+        given = materialize(given, "surrogates")
+        taken = taken.union(given.select("kind", "surrogate"))
+        found = given if found is None else found.union(given)
+    return found
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
@@ -198,23 +274,33 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     an entity of the table.
 
     Each round draws one surrogate per open entity. The smallest entity of those that drew the same
-    keeps it, unless it is taken or real; the others draw again with the next attempt.
+    keeps it, unless it is taken or real; the others draw again with the next attempt. Numbers and
+    addresses that are open after ``ROUNDS`` get the free values of their length, first with their own
+    first digit, then with any. Where no value of the length is free, the surrogate of a number is
+    longer and that of an address has octets over 255, so that neither can be real.
     """
     real = materialize(entities.distinct(), "entities")
     open_ones, settled = real, None
-    for attempt in range(ATTEMPTS):
+    taken = real.select("kind", F.col("core").alias("surrogate"))
+
+    def settle(good: DataFrame) -> None:
+        nonlocal open_ones, settled, taken
+        settled = good if settled is None else settled.union(good)
+        taken = taken.union(good.select("kind", "surrogate"))
+        open_ones = materialize(open_ones.join(good, ["kind", "core"], "left_anti"), "open-entities")
+
+    for attempt in itertools.count():
+        if attempt == ROUNDS:
+            for keep_first in (True, False):
+                found = _free_values(open_ones, taken, key, keep_first)
+                if found is not None:
+                    settle(found)
         drawn = open_ones.select("kind", "core", surrogate(open_ones, key, attempt).alias("surrogate"))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("core").alias("core"))
-        taken = real.select("kind", F.col("core").alias("surrogate"))
-        if settled is not None:
-            taken = taken.union(settled.select("kind", "surrogate"))
         good = first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "core", "surrogate")
-        good = materialize(good, "surrogates")
-        settled = good if settled is None else settled.union(good)
-        open_ones = materialize(open_ones.join(good, ["kind", "core"], "left_anti"), "open-entities")
+        settle(materialize(good, "surrogates"))
         if open_ones.isEmpty():
             return settled
-    raise ValueError(f"no free surrogate after {ATTEMPTS} attempts")
 
 
 def _with_surnames(entities: DataFrame) -> DataFrame:
@@ -258,6 +344,8 @@ def _written(kind: Column, value: Column, made: Column) -> Column:
         ),
         "",
     )
+    length = F.length(F.regexp_replace(value, r"\D", ""))
+    digits = F.concat(digits, F.substr(made, length + 1, F.length(made)))
     shouted = (F.upper(value) == value) & (F.lower(value) != value)
     before_secret = F.regexp_replace(value, r"[A-Za-z0-9_+/-]+$", "")
     secret = F.regexp_extract(value, r"([A-Za-z0-9_+/-]+)$", 1)

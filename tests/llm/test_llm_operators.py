@@ -321,6 +321,22 @@ def test_surrogates_stay_distinct(spark):
     assert not {r["surrogate"] for r in made} & {core for _, core, _, _ in numbers}
 
 
+@pytest.mark.parametrize("n", [60, 1000])
+def test_surrogates_of_a_nearly_full_space(spark, n):
+    """60 of the 100 numbers that start with 0 are real; of 1,000 numbers none is free, and they grow."""
+    numbers = [("phone", f"{k:03d}", "", "latin") for k in range(n)]
+    letters = [("email", f"{c}@a.example.com", "", "latin") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    names = [("name", f"{a}{b} smith", "f", "latin") for a in "bcdfghjkl" for b in ("ana", "eva", "ina", "ola")]
+    rest = [("secret", "--------", "", "latin"), *letters, *names] if n == 60 else []
+    frame = spark.createDataFrame(numbers + rest, "kind string, core string, gender string, script string")
+    made = surrogates.surrogate_table(frame, "k").collect()
+    assert {(r["kind"], r["core"]) for r in made} == {(k, c) for k, c, _, _ in numbers + rest}
+    assert len({(r["kind"], r["surrogate"]) for r in made}) == len(made) == len(numbers + rest)
+    assert not {r["surrogate"] for r in made} & {core for _, core, _, _ in numbers + rest}
+    lengths = Counter(len(r["surrogate"]) for r in made if r["kind"] == "phone")
+    assert set(lengths) == {3} if n == 60 else min(lengths) > 3
+
+
 def test_titled_surnames_stay_distinct_and_follow_full_names(spark):
     letters = "abcdefghij"
     made_up = [f"X{a}{b}{c}o" for a in letters for b in letters for c in letters]
