@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.llm.columns import row_key
+from adjudica.llm.given_names import DETECTED
 from adjudica.session import materialize
 
 # Given names by script and gender, forms of address, and syllables of surnames.
@@ -20,32 +21,54 @@ GIVEN = {
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Павел Борис",
 }
 TITLES = {
-    "m": "Mr|Herr|Monsieur|Señor|Sr|Signor|господин|г-н",
-    "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|госпожа|г-жа",
+    "m": "Mr|Herrn?|Monsieur|Señor|Sr|Signor|господин|г-н",
+    "f": "Mrs|Ms|Miss|Frau|Fräulein|Madame|Mme|Mlle|Mademoiselle|Señora|Señorita|Sra|Srta|Signora|Dra|Profesora|Doctora|госпожа|г-жа",
+    "": "Dr|Prof|Professor|Professeur|Profesor|Doctor|Docteur|Doktor|Mx|профессор|доктор|д-р",
 }
 SYLLABLES = {
     "latin": "ba be bo da del do fen ga gor ha hil ka kel la len lo ma mer mi na nel no pa per ra rin "
     "ro sa sel so ta tor ul va ver vi wen za zel zo",
     "cyrillic": "ба бел бо да дер до га гор ка ков ла лен ло ма мер ми на нов по ра рин ро са сел со та",
 }
-_NAMES = "|".join(name for names in GIVEN.values() for name in names.split())
+#: Given names by gender: the detected ones and the surrogates, so that an output's names are found again.
+_NAMES = {
+    g: sorted({*DETECTED[g].split(), *(n for (_, a), names in GIVEN.items() if a == g for n in names.split())})
+    for g in ("f", "m")
+}
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of whole words that looks at the rest of a word only behind its first letter."""
+    tails = {}
+    for word in sorted(set(words), reverse=True):
+        tails.setdefault(word[0], []).append(word[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(t)})" for c, t in sorted(tails.items())) + r")(?!\p{L})"
+
+
+_ANY_TITLE = r"(?:(?:" + "|".join(TITLES.values()) + r")\.? ){1,3}"
+_ONE_NAME = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)*"
+_SURNAME = r"(?:\p{Lu}['’])?" + _ONE_NAME
+_LABEL = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_HEX = r"(?=[0-9A-Fa-f]{32})(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
+#: One more digit, which may stand behind separators; a group such as 030 behind one starts another number.
+_MORE = r"(?:[ .()/-]{1,3}(?!0\d\d)\d|\d)"
 #: Kinds of personal data and how they look. Order matters: the first that fits a place wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?=[A-Za-z])(?<![\p{L}\p{N}])(?i:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-    r"[A-Za-z0-9_+/-]{8,}+|(?=[0-9A-Fa-f]{32})(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
+    "secret": r"(?=[A-Za-z])(?<![\p{L}\p{N}])" + _LABEL + r"[^\s\"']{7,}[^\s\"'.,;:)\]}>]|" + _HEX,
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?=\+)(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
-    r"|(?=\()(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?=\d)(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
+    "phone": r"(?=\+)(?<![\d+])\+\d(?:[ .()/-]{0,3}\d){6}" + _MORE + r"{0,8}(?!\d)"
+    r"|(?=\()(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?=\d)(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+    r"|(?=\(?0)(?<![\p{L}\d.,:/+-])(?!\d\d([./-])\d\d\1\d{4}(?!\d))\(?0\d(?:[ .()/-]{0,3}\d){6}" + _MORE + r"{0,7}(?!\d)",
     "card": r"(?=\d)(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
-    "name": r"(?=[A-ZА-Яг])(?<![\p{L}\p{N}])(?:(?:(?:" + TITLES["m"] + "|" + TITLES["f"] + r")\.? )(?:\p{Lu}\p{L}+ )?\p{Lu}\p{L}+"
-    r"|(?:" + _NAMES + r") \p{Lu}\p{L}+)",
+    "name": r"(?=[\p{Lu}гпд])(?<![\p{L}\p{N}])(?:" + _ANY_TITLE + "(?:" + _ONE_NAME + " )?" + _SURNAME
+    + r"|(?=\p{Lu}[\p{L}-]+ \p{Lu})(?:" + _any_of(_NAMES["f"] + _NAMES["m"]) + r"(?:-\p{Lu}\p{L}+)? ){1,3}" + _SURNAME + ")",
 }
 #: Characters of which every kind but names holds at least one; most texts hold none.
 TELLTALE = "[0-9@=:]"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_TITLE = "^(?:" + TITLES["m"] + "|" + TITLES["f"] + r")\.? "
+_TITLE = "^" + _ANY_TITLE
 #: Draws in the format of the value; numbers and addresses still open then get the free values left.
 ROUNDS = 12
 #: Kinds whose format fixes the length, so that their values can be listed.
@@ -68,7 +91,7 @@ def kind_of(value: Column) -> Column:
 def _core(kind: Column, value: Column) -> Column:
     """What identifies the entity, however it is written."""
     digits = F.regexp_replace(value, r"\D", "")
-    secret = F.regexp_extract(value, r"([A-Za-z0-9_+/-]+)$", 1)
+    secret = F.regexp_replace(value, "^" + _LABEL, "")
     return (
         F.when(kind == "email", F.lower(value))
         .when(kind == "secret", F.when(secret.rlike("^[0-9A-Fa-f]+$"), F.lower(secret)).otherwise(secret))
@@ -79,10 +102,11 @@ def _core(kind: Column, value: Column) -> Column:
 
 
 def _gender(kind: Column, value: Column) -> Column:
-    female = "^(?:" + TITLES["f"] + r")\.? |^(?:" + "|".join(
-        n for (_, g), names in GIVEN.items() if g == "f" for n in names.split()
-    ) + ") "
-    return F.when(kind == "name", F.when(value.rlike(female), "f").otherwise("m")).otherwise("")
+    """By the form of address, else by the given name; m where neither tells."""
+    bare = F.regexp_replace(value, _TITLE, "")
+    titled = {g: value.rlike(r"^(?:\S+ ){0,2}(?:" + TITLES[g] + r")\.? ") for g in ("f", "m")}
+    female = F.when(titled["f"], True).when(titled["m"], False).otherwise(bare.rlike("^" + _any_of(_NAMES["f"])))
+    return F.when(kind == "name", F.when(female, "f").otherwise("m")).otherwise("")
 
 
 def _byte(digest: Column, at: Column | int) -> Column:
@@ -347,8 +371,8 @@ def _written(kind: Column, value: Column, made: Column) -> Column:
     length = F.length(F.regexp_replace(value, r"\D", ""))
     digits = F.concat(digits, F.substr(made, length + 1, F.length(made)))
     shouted = (F.upper(value) == value) & (F.lower(value) != value)
-    before_secret = F.regexp_replace(value, r"[A-Za-z0-9_+/-]+$", "")
-    secret = F.regexp_extract(value, r"([A-Za-z0-9_+/-]+)$", 1)
+    secret = F.regexp_replace(value, "^" + _LABEL, "")
+    before_secret = F.regexp_extract(value, "^(" + _LABEL + ")", 1)
     loud = (F.upper(secret) == secret) & secret.rlike("^[0-9A-F]+$")
     title = F.regexp_extract(value, "(" + _TITLE + ")", 1)
     full = F.initcap(made)
@@ -367,7 +391,9 @@ def replace_personal_data(
     """(row, text, n_entities, kinds) of every row; ``row`` holds all columns of ``docs`` as they were.
 
     Detected are e-mail addresses, secrets, IP addresses, social security, phone and card numbers, and
-    names behind a form of address or a known given name. Equal entities get equal surrogates in the
+    names behind a form of address or a known given name. Phone numbers have a country prefix or a leading
+    0 and then 7 to 14 digits in any grouping, or ten digits in the American one; a labelled secret runs to
+    white space or a quote, less closing punctuation. Equal entities get equal surrogates in the
     whole table, also where they are written differently (coreference); different ones get different
     surrogates (checked by ``surrogate_table``). Only someone with ``key`` can repeat the mapping.
 

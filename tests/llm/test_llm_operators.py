@@ -337,6 +337,31 @@ def test_surrogates_of_a_nearly_full_space(spark, n):
     assert set(lengths) == {3} if n == 60 else min(lengths) > 3
 
 
+REAL = [
+    "+33 6 12 34 56 78", "+34 612 34 56 78", "+49 170 123 45 67", "030 1234567", "01 23 45 67 89", "(030) 123-4567",
+    "+44 (0)20 7946 0958", "Dr. Weber", "Prof. Dr. Jürgen Klein", "Matthias Vogel", "Françoise Dupont", "Людмила Орлова",
+    "Anna Maria Schmidt", "Eleanor O'Brien", "Anne-Marie Petit",
+]
+SECRETS = {"token=": "eyJhbGciOiJIUzI1NiJ9.eyJzdWIi.c2lnbg", "password: ": "P@ssw0rd!2024", 'api_key: "': "ab.cd/ef+gh=="}
+PLAIN = ["on 01.02.2024 10:30", "0.12345678 of it", "Grace Under Fire", "2024-01-02 03:04:05", "00:00:00", "a secret: no"]
+
+
+def test_personal_data_of_other_forms_is_found(spark):
+    text = [f"see {real}, then" for real in REAL] + [f"x {a}{b}\" y" for a, b in SECRETS.items()] + PLAIN
+    frame = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    replaced = surrogates.replace_personal_data(frame, "k").select("row.doc_id", "text", "n_entities")
+    out = {r["doc_id"]: r for r in replaced.collect()}
+    for k, real in enumerate([*REAL, *SECRETS.values()]):
+        assert out[k]["n_entities"] == 1, (real, out[k])
+        parts = [p for p in re.split(r"[ .]", real) if len(p) > 4 and p not in ("Prof",)]
+        assert real not in out[k]["text"] and not [p for p in parts if p in out[k]["text"]], out[k]
+        if k < len(REAL):
+            assert re.fullmatch(r"see .*, then", out[k]["text"])
+            assert re.sub(r"\d", "9", out[k]["text"])[4:-6] == re.sub(r"\d", "9", real) or not real[-1].isdigit()
+    for k in range(len(REAL) + len(SECRETS), len(text)):
+        assert out[k]["text"] == text[k]
+
+
 def test_titled_surnames_stay_distinct_and_follow_full_names(spark):
     letters = "abcdefghij"
     made_up = [f"X{a}{b}{c}o" for a in letters for b in letters for c in letters]
