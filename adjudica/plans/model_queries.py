@@ -38,7 +38,7 @@ LINEAR = validation.ModelPlan(
     TARGET, tuple(ALL_NUMERIC), tuple(ALL_CATEGORICAL), "logistic_regression"
 )
 BOOSTED = validation.ModelPlan(
-    TARGET, tuple(ALL_NUMERIC), tuple(ALL_CATEGORICAL), "sampled_boosting", {"maxIter": 10}
+    TARGET, tuple(ALL_NUMERIC), tuple(ALL_CATEGORICAL), "sampled_boosting"
 )
 
 
@@ -72,7 +72,7 @@ def standardized(spark, folder):
     return rounded(scaled.select("applicant_id", *[c + SCALED for c in APPLICANTS.numeric]))
 
 
-ONE_HOT = ["Education", "EmploymentType"]
+ONE_HOT = ENGINEERED.categorical
 
 
 @query(
@@ -282,13 +282,8 @@ def oof(spark, folder):
 
 @query("model_comparison")
 def model_comparison(spark, folder):
-    """Small ensembles: the comparison's cost is the sum of its members'."""
-    small = {
-        "random_forest": {"numTrees": 20, "maxDepth": 6},
-        "gradient_boosting": {"maxIter": 5},
-        "sampled_boosting": {"maxIter": 5},
-    }
-    return validation.compare_models(folded(spark, folder, 2), LINEAR, 2, params=small)
+    """Every classifier with its defaults: the comparison's cost is the sum of its members'."""
+    return validation.compare_models(folded(spark, folder), LINEAR)
 
 
 @query("calibrated")
@@ -306,7 +301,7 @@ def learning_curve(spark, folder):
 
 @query("tuned")
 def tuned(spark, folder):
-    trials = tuning.tune(folded(spark, folder, 2), LINEAR, 3, 2)
+    trials = tuning.tune(folded(spark, folder), LINEAR)
     return tuning.running_best(trials).select("number", "value", "best_value", "state")
 
 
@@ -324,21 +319,20 @@ def perm_rank(spark, folder):
     )
 
 
-CANDIDATES = ["CreditScore", "Income", "EmploymentType", "low_income", "credit_band"]
-
-
 @query("selection_curve")
 def selection_curve(spark, folder):
-    frame = folded(spark, folder, 2)
+    frame = folded(spark, folder)
     return rankings.selection_curve(
-        frame, ENGINEERED, CANDIDATES, "logistic_regression", folds=2
+        frame, ENGINEERED, ENGINEERED.candidates, "logistic_regression"
     )
 
 
 @query("feature_ranking")
 def feature_ranking(spark, folder):
     frame = materialize(fixtures.engineered(spark, folder))
-    return rankings.rank_features(frame, ENGINEERED, CANDIDATES, "logistic_regression")
+    return rankings.rank_features(
+        frame, ENGINEERED, ENGINEERED.candidates, "logistic_regression"
+    )
 
 
 @query("tree_shap")
@@ -424,9 +418,8 @@ def pca_map(spark, folder):
 
 @query("training_run")
 def training_run(spark, folder):
-    options = training.TrainingOptions(folds=2)
     frame = fixtures.repaired(spark, folder)
-    outcome = training.run_training(frame, "logistic_regression", options)
+    outcome = training.run_training(frame, "logistic_regression")
     return training.metrics_row(spark, outcome.metrics)
 
 

@@ -271,3 +271,47 @@ def test_linear_explanation_of_one_row_is_that_of_the_whole_table(engineered):
     wanted = {r["feature"]: r["contribution"] for r in whole.where(F.col("applicant_id") == key).collect()}
     found = {r["feature"]: r["contribution"] for r in alone.collect()}
     assert base == base_alone and found == wanted and any(found.values())
+
+
+def test_queries_of_models_ask_for_the_whole_job(spark, small, monkeypatch):
+    """The queries hand over all candidates and no folds, trials or parameters of their own."""
+    import inspect
+
+    from adjudica.operators import rankings, tuning, validation
+    from adjudica.plans import model_queries, training
+    from adjudica.spec import ENGINEERED, KNOBS
+
+    asked = {}
+
+    def record(module, name):
+        signature = inspect.signature(getattr(module, name))
+
+        def take(*args, **named):
+            bound = signature.bind(*args, **named)
+            bound.apply_defaults()
+            asked[name] = bound.arguments
+            raise InterruptedError
+
+        monkeypatch.setattr(module, name, take)
+
+    watched = {
+        "model_comparison": (validation, "compare_models"),
+        "tuned": (tuning, "tune"),
+        "selection_curve": (rankings, "selection_curve"),
+        "feature_ranking": (rankings, "rank_features"),
+        "training_run": (training, "run_training"),
+    }
+    for query, (module, name) in watched.items():
+        record(module, name)
+        with pytest.raises(InterruptedError):
+            getattr(model_queries, query)(spark, small)
+    assert asked["compare_models"]["folds"] == asked["tune"]["folds"] == KNOBS.folds
+    assert asked["compare_models"]["params"] is None and asked["tune"]["trials"] == KNOBS.trials
+    assert asked["selection_curve"]["folds"] == KNOBS.folds
+    for name in ("selection_curve", "rank_features"):
+        columns = next(v for v in asked[name].values() if isinstance(v, list))
+        assert columns == ENGINEERED.candidates
+    options = asked["run_training"].get("options")
+    assert options is None or options.folds == KNOBS.folds
+    assert model_queries.BOOSTED.params is None
+    assert tuple(model_queries.ONE_HOT) == ENGINEERED.categorical
