@@ -11,8 +11,12 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adjudica.session import materialize
 from adjudica.spec import KNOBS
 
+#: Training ends when the loss has not fallen by this much below its best for so many steps.
+FALL, PATIENCE = 1e-4, 10
+
 
 def _shapes(width: int, hidden: int, bottleneck: int) -> list[tuple[int, int]]:
     return [(width, hidden), (hidden, bottleneck), (bottleneck, hidden), (hidden, width)]
@@ -67,6 +71,7 @@ def _summed(frame: DataFrame, flat: np.ndarray, shapes) -> np.ndarray:
 class Autoencoder(Estimator):
     """Full-batch gradient descent with momentum and scaling of the steps (Adam).
 
+    At most ``steps`` steps; it ends earlier when the loss no longer falls. ``steps_taken`` has their number.
     Fitting gives a ``SQLTransformer``: the embedding is plain arithmetic over the inputs.
     """
 
@@ -75,7 +80,7 @@ class Autoencoder(Estimator):
         inputs: Sequence[str],
         bottleneck: int = KNOBS.bottleneck,
         hidden: int = 8,
-        steps: int = 40,
+        steps: int = KNOBS.network_steps,
         rate: float = 0.03,
         seed: int = KNOBS.seed,
     ) -> None:
@@ -83,13 +88,17 @@ class Autoencoder(Estimator):
         self.inputs, self.bottleneck, self.hidden = list(inputs), bottleneck, hidden
         self.steps, self.rate, self.seed = steps, rate, seed
         self.reconstruction_error: float | None = None
+        self.steps_taken = 0
 
     @property
     def names(self) -> list[str]:
         return [f"autoencoder_{i}" for i in range(self.bottleneck)]
 
     def train(self, dataset: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-        frame = dataset.select(*[F.col(c).cast("double").alias(c) for c in self.inputs])
+        # Every step reads the inputs, so they are stored once.
+        frame = materialize(
+            dataset.select(*[F.col(c).cast("double").alias(c) for c in self.inputs]), "network-inputs"
+        )
         shapes = _shapes(len(self.inputs), self.hidden, self.bottleneck)
         random = np.random.default_rng(self.seed)
         flat = np.concatenate(
@@ -101,8 +110,15 @@ class Autoencoder(Estimator):
             ]
         )
         first, second = np.zeros_like(flat), np.zeros_like(flat)
+        best, idle, self.steps_taken = np.inf, 0, 0
         for step in range(1, self.steps + 1):
             sums = _summed(frame, flat, shapes)
+            loss = sums[0] / sums[1]
+            idle = idle + 1 if loss > best - FALL else 0
+            best = min(best, loss)
+            if idle >= PATIENCE:
+                break
+            self.steps_taken = step
             gradient = sums[2:] / sums[1]
             first = 0.9 * first + 0.1 * gradient
             second = 0.999 * second + 0.001 * gradient**2

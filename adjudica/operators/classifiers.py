@@ -167,6 +167,7 @@ def fit_model(
     name: str = DEFAULT_MODEL,
     params: Mapping[str, float] | None = None,
     bottleneck: int | None = None,
+    network_steps: int = KNOBS.network_steps,
 ) -> PipelineModel:
     """Fit preprocessing and classifier on the training rows alone.
 
@@ -181,7 +182,9 @@ def fit_model(
     weighted = used.withColumn(WEIGHT, balanced_weight(counts, target))
     classifier = kind.estimator(params, rows)
     classifier.setLabelCol(target).setFeaturesCol("features").setWeightCol(WEIGHT)
-    prepared = preprocessor(list(numeric), list(categorical), bottleneck)
+    prepared = preprocessor(
+        list(numeric), list(categorical), bottleneck, network_steps=network_steps
+    )
     stages = [*prepared.getStages(), classifier]
     if isinstance(classifier, LogisticRegression):
         means = StandardScaler(inputCol="features", outputCol=CENTRED, withMean=True, withStd=False)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from adjudica.functions.attach import attach
 from adjudica.functions.ordering import quantile_row
+from adjudica.spec import KNOBS
 
 MISSING_CATEGORY = "Missing"
 FILLED, SCALED, TEXT, INDEX, HOT = "__filled", "__scaled", "__text", "__index", "__hot"
@@ -115,10 +116,12 @@ def preprocessor(
     categorical: Sequence[str],
     bottleneck: int | None = None,
     output: str = "features",
+    network_steps: int = KNOBS.network_steps,
 ) -> Pipeline:
     """Numeric and categorical branches assembled into one vector; an empty branch is left out.
 
-    With ``bottleneck`` an embedding of the numeric columns is added beside them.
+    With ``bottleneck`` an embedding of the numeric columns is added beside them, from a network
+    trained for at most ``network_steps`` steps.
     """
     stages: list = []
     inputs: list[str] = []
@@ -131,7 +134,7 @@ def preprocessor(
     if bottleneck and numeric:
         from adjudica.operators.autoencoder import Autoencoder
 
-        coder = Autoencoder([c + SCALED for c in numeric], bottleneck)
+        coder = Autoencoder([c + SCALED for c in numeric], bottleneck, steps=network_steps)
         stages.append(coder)
         inputs += coder.names
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output))

@@ -43,6 +43,7 @@ class ModelPlan:
     name: str = DEFAULT_MODEL
     params: Mapping[str, float] | None = None
     bottleneck: int | None = None
+    network_steps: int = KNOBS.network_steps
 
     def fit(self, train: DataFrame) -> PipelineModel:
         return fit_model(
@@ -53,6 +54,7 @@ class ModelPlan:
             self.name,
             self.params,
             self.bottleneck,
+            self.network_steps,
         )
 
 
@@ -197,7 +199,7 @@ def embedding_verdict(frame: DataFrame, plan: ModelPlan, folds: int = KNOBS.fold
     """Cross-validated score with and without the embedding; a gain within one standard error loses."""
     width = plan.bottleneck or KNOBS.bottleneck
     plain = ModelPlan(plan.target, plan.numeric, plan.categorical, plan.name, plan.params)
-    coded = ModelPlan(plan.target, plan.numeric, plan.categorical, plan.name, plan.params, width)
+    coded = ModelPlan(plan.target, plan.numeric, plan.categorical, plan.name, plan.params, width, plan.network_steps)
     without, with_it = cross_validate(frame, plain, folds), cross_validate(frame, coded, folds)
     gain = with_it["mean"] - without["mean"]
     keep = gain > without["std"] / folds**0.5

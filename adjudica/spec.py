@@ -99,6 +99,7 @@ class Knobs:
     contamination: float = 0.01
     votes: int = 2
     bottleneck: int = 3
+    network_steps: int = 500
     resamples: int = 500
     fair_ratio: float = 0.8
     permutation_repeats: int = 5

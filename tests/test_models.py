@@ -218,6 +218,22 @@ def test_embedding_is_repeatable_nonnegative_and_reduces_error(spark, engineered
     assert out.where("autoencoder_0 < 0 or autoencoder_1 < 0").count() == 0
 
 
+def test_network_steps_reach_the_network_and_end_when_the_loss_stays(spark):
+    rows = [(float(k % 7 - 3), float((k * k) % 5 - 2)) for k in range(70)]
+    frame = spark.createDataFrame(rows, "a double, b double").coalesce(1)
+    plain = preprocess.preprocessor(["a", "b"], [], 1).getStages()[1]
+    assert plain.steps == 500
+    few = preprocess.preprocessor(["a", "b"], [], 1, network_steps=7).getStages()[1]
+    assert few.steps == 7 and validation.ModelPlan("y", ("a",), (), network_steps=7).network_steps == 7
+    still = Autoencoder(["a", "b"], 1, steps=60, rate=0.0)
+    still.train(frame)
+    assert still.steps_taken == 10
+    short, long = Autoencoder(["a", "b"], 1, steps=20), Autoencoder(["a", "b"], 1, steps=60)
+    short.train(frame)
+    long.train(frame)
+    assert long.steps_taken > 20 and long.reconstruction_error < short.reconstruction_error
+
+
 def test_stream_scores_equal_batch_scores(spark, small, engineered, tmp_path):
     model = LINEAR.fit(engineered)
     rows = tables.project_features(fixtures.repaired(spark, small), APPLICANTS)
