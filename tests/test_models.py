@@ -38,9 +38,8 @@ def test_a_model_without_probabilities_is_refused(spark):
         kind.estimator({}, 10)
 
 
-@pytest.mark.parametrize("known_rows", [None, 1500])
-def test_scaling_fills_with_the_median_and_centres(spark, engineered, known_rows):
-    model = preprocess.MedianScaler(["Income", "Age"], known_rows).fit(engineered)
+def test_scaling_fills_with_the_median_and_centres(spark, engineered):
+    model = preprocess.MedianScaler(["Income", "Age"]).fit(engineered)
     out = model.transform(engineered)
     row = out.agg(
         F.avg("Income__scaled"), F.stddev_pop("Income__scaled"), F.count_if(F.col("Income__filled").isNull())
@@ -205,7 +204,7 @@ def test_search_is_repeatable_and_inside_its_space(spark):
 
 def test_embedding_is_repeatable_nonnegative_and_reduces_error(spark, engineered):
     columns = ["Age", "LoanAmount", "CreditScore"]
-    scaled = preprocess.MedianScaler(columns, 1500).fit(engineered).transform(engineered)
+    scaled = preprocess.MedianScaler(columns).fit(engineered).transform(engineered)
     inputs = [c + preprocess.SCALED for c in columns]
     short, long = Autoencoder(inputs, 2, steps=1), Autoencoder(inputs, 2, steps=15)
     short.train(scaled)
