@@ -46,7 +46,7 @@ def _any_of(words: list[str]) -> str:
 
 
 _ANY_TITLE = r"(?:(?:" + "|".join(TITLES.values()) + r")\.? ){1,3}"
-_ONE_NAME = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)*"
+_ONE_NAME = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+){0,20}"
 _SURNAME = r"(?:\p{Lu}['’])?" + _ONE_NAME
 _LABEL = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 _HEX = r"(?=[0-9A-Fa-f]{32})(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
@@ -54,7 +54,7 @@ _HEX = r"(?=[0-9A-Fa-f]{32})(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 _MORE = r"(?:[ .()/-]{1,3}(?!0\d\d)\d|\d)"
 #: Kinds of personal data and how they look. Order matters: the first that fits a place wins.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,126}",
     "secret": r"(?=[A-Za-z])(?<![\p{L}\p{N}])" + _LABEL + r"[^\s\"']{7,}[^\s\"'.,;:)\]}>]|" + _HEX,
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -63,7 +63,7 @@ PATTERNS = {
     r"|(?=\(?0)(?<![\p{L}\d.,:/+-])(?!\d\d([./-])\d\d\1\d{4}(?!\d))\(?0\d(?:[ .()/-]{0,3}\d){6}" + _MORE + r"{0,7}(?!\d)",
     "card": r"(?=\d)(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
     "name": r"(?=[\p{Lu}гпд])(?<![\p{L}\p{N}])(?:" + _ANY_TITLE + "(?:" + _ONE_NAME + " )?" + _SURNAME
-    + r"|(?=\p{Lu}[\p{L}-]+ \p{Lu})(?:" + _any_of(_NAMES["f"] + _NAMES["m"]) + r"(?:-\p{Lu}\p{L}+)? ){1,3}" + _SURNAME + ")",
+    + r"|(?=\p{Lu}[\p{L}-]{1,200} \p{Lu})(?:" + _any_of(_NAMES["f"] + _NAMES["m"]) + r"(?:-\p{Lu}\p{L}+)? ){1,3}" + _SURNAME + ")",
 }
 #: Characters of which every kind but names holds at least one; most texts hold none.
 TELLTALE = "[0-9@=:]"
@@ -209,7 +209,15 @@ def surrogate(frame: DataFrame, key: str, attempt: int) -> Column:
     longer = min(attempt // 4, 20)
     beyond = max(attempt - ROUNDS + 1, 0)
     kind, core = F.col("kind"), F.col("core")
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, "gender", core), 512)
+    drawn = F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, "gender", core), 512)
+    # Bound by a lambda, so that a long entity is hashed once and not once for each of its characters.
+    made = F.transform(F.array(drawn), lambda digest: _drawn(digest, key, longer, beyond))
+    return F.element_at(made, 1)
+
+
+def _drawn(digest: Column, key: str, longer: int, beyond: int) -> Column:
+    """The surrogate that ``digest`` stands for; the space is ``longer`` and ``beyond`` as wide."""
+    kind, core = F.col("kind"), F.col("core")
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(core, "@", -1)), 512)
     more = F.sha2(F.concat(digest, F.lit("more")), 512)
     tail, digits = F.substr(more, F.lit(1), F.lit(longer)), F.translate(more, "abcdef", "012345")
