@@ -16,6 +16,7 @@ from adjudica.llm import (
     surrogates,
     token_counts,
     token_files,
+    whitening,
 )
 from adjudica.session import new_path
 
@@ -107,6 +108,23 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    fit = whitening.fit_whitening(vectors, components=32)
+    white = whitening.whiten(vectors, fit)
+    shares = [float(share) for share in fit.explained] if fit else []
+    return white.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(fit.n if fit else 0).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.get(F.lit(shares).cast("array<double>"), "at").alias("explained"),
+        F.lit(fit.identity_error if fit else 0.0).alias("identity_error"),
+    )
+
+
 ORACLES["op2_decontamination"] = r"""WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
