@@ -16,6 +16,7 @@ from adjudica.llm import (
     surrogates,
     token_counts,
     token_files,
+    warc_bundles,
     whitening,
 )
 from adjudica.session import new_path
@@ -108,6 +109,14 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@_query
+def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc_bundles.write_bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    records = warc_bundles.read_bundles(spark, folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -151,3 +160,17 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM split s LEFT JOIN hits h ON s.doc_id = h.doc_id LEFT JOIN named m ON s.doc_id = m.doc_id
 """
+
+ORACLES["op12_warc_bundles"] = r"""WITH sizes AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+ranked AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM sizes),
+digits AS (
+  SELECT *, list_transform(range(32), lambda i: list_sum(list_transform(range(5), lambda b:
+    CASE WHEN (CAST('0x' || sha[(5 * i + b) // 4 + 1] AS INTEGER) >> CAST(3 - (5 * i + b) % 4 AS INTEGER)) & 1 = 1
+         THEN (1 << CAST(4 - b AS INTEGER)) ELSE 0 END))) AS code FROM ranked)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(code, lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(c AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM digits
+"""
