@@ -12,6 +12,7 @@ from adjudica.llm import (
     line_crf,
     near_duplicates,
     packing,
+    phrases,
     quality_rules,
     surrogates,
     token_counts,
@@ -109,6 +110,11 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@_query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_documents(spark, sf_dir))
+
+
 @_query
 def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
@@ -174,3 +180,36 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM digits
 """
+
+ORACLES["op11_phrases"] = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+numbered AS (SELECT lang, w, row_number() OVER () AS piece FROM split WHERE len(w) > 0),
+tokens AS (SELECT lang, piece, unnest(w) AS x, unnest(range(len(w))) AS i FROM numbered),
+followed AS (
+  SELECT lang, x, lead(x) OVER places AS y, lead(x, 2) OVER places AS z FROM tokens
+  WINDOW places AS (PARTITION BY piece ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS k, x AS phrase, count(*) AS f FROM followed GROUP BY ALL
+  UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM followed WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM followed WHERE z IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 10),
+longer AS (
+  SELECT lang, part, max(f) AS f FROM (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part, f FROM candidates WHERE k = 3) t
+  GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f, cut, array_to_string(w[1 : cut], ' ') AS head, array_to_string(w[cut + 1 :], ' ') AS tail
+  FROM candidates c, range(1, 3) t(cut) WHERE cut < c.k),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, cut,
+         CAST((1000000 * CAST(c.f AS HUGEINT) * c.f) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.head JOIN grams y ON y.lang = c.lang AND y.phrase = c.tail
+  LEFT JOIN longer o ON o.lang = c.lang AND o.part = c.phrase AND c.k = 2
+  WHERE coalesce(100 * o.f < 50 * c.f, true)),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= 2000
+"""
