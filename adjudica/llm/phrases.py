@@ -99,8 +99,13 @@ class Run:
         if len(keys):
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             counts = np.diff(np.concatenate([first, [len(keys)]]))
-            self.counted.setdefault(lang, []).append((keys[first], counts))
+            parts = self.counted.setdefault(lang, [])
+            parts.append((keys[first], counts))
             self.size += len(first)
+            if c == 2 and carry.all():
+                # The pair was counted where it stood, perhaps in an earlier run; its triple needs it here.
+                pair = carry[:1] << 2 * BITS | carry[1:] << BITS
+                parts.append((pair, np.zeros(1, dtype=np.int64)))
         return a[-2:]
 
     def phrases(self) -> Iterator[tuple[str, Phrases]]:

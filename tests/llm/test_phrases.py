@@ -64,7 +64,8 @@ def spelled(found):
     out = {words[k]: n for k, n in zip(found.one.tolist(), found.one_n.tolist())}
     twos = [pair(k) for k in found.two.tolist()]
     out |= dict(zip(twos, found.two_n.tolist()))
-    return out | {f"{twos[k >> 32]} {words[k & 0xFFFFFFFF]}": n for k, n in zip(found.three.tolist(), found.three_n.tolist())}
+    out |= {f"{twos[k >> 32]} {words[k & 0xFFFFFFFF]}": n for k, n in zip(found.three.tolist(), found.three_n.tolist())}
+    return {phrase: n for phrase, n in out.items() if n}
 
 
 @pytest.fixture(scope="module")
