@@ -10,13 +10,18 @@ result, so an approximate sketch is enough to choose them.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adjudica.functions.attach import attach, long_form
+from adjudica.functions.attach import attach
 
+#: Sketches of quantile brackets: their accuracy, and how far a bracket reaches in shares of the rows.
+ACCURACY = 10_000
+MARGIN = 4.0 / ACCURACY
+#: Columns with fewer values are taken whole, as a share of them may be less than one row.
+WHOLE = 20_000
 
 
 def count_values(frame: DataFrame, keys: Sequence[str], value: str, **sums: Column) -> DataFrame:
@@ -146,16 +151,68 @@ def quantile_row(
     shares: Sequence[float],
 ) -> DataFrame:
     """One row with an array of exact quantiles per column, by the same steps at every size."""
-    shares = [float(s) for s in shares]
-    counted = count_values(long_form(frame, columns), ["feature"], "value")
-    found = grouped_quantiles(counted, ["feature"], "value", shares)
-    return found.groupBy().agg(
-        *[
-            F.max(
-                F.when(
-                    F.col("feature") == c, F.array(*[F.col(f"q{i}") for i in range(len(shares))])
-                )
-            ).alias(c)
-            for c in columns
-        ]
+    return bracketed_quantiles(frame, {c: F.col(c) for c in columns}, shares)
+
+
+def bracketed_quantiles(
+    frame: DataFrame, entries: Mapping[str, Column], shares: Sequence[float]
+) -> DataFrame:
+    """One row with an array of exact quantiles per entry, linear between neighbours; null without values.
+
+    An entry is any numeric expression, for example a column where a condition holds, so that one call
+    serves many subsets. The first scan sketches every entry, and the sketch's bounded error gives each
+    wanted position a bracket that must hold it. The second scan counts the rows below each bracket and
+    the values inside; about one row in a thousand is inside, and only counts of these move. A
+    bracket that does not hold its position stops the query.
+    """
+    names, shares = list(entries), [float(s) for s in shares]
+    values = frame.select(*[entries[name].cast("double").alias(f"e{k}") for k, name in enumerate(names)])
+    ends = [min(max(s + side * MARGIN, 0.0), 1.0) for s in shares for side in (-1.0, 1.0)]
+    points = ", ".join(f"{p!r}D" for p in ends)
+    sketch = lambda k: F.expr(f"percentile_approx(e{k}, array({points}), {ACCURACY})")
+    brackets = values.agg(
+        *[F.struct(F.count(f"e{k}").alias("n"), sketch(k).alias("at")).alias(f"b{k}") for k in range(len(names))]
+    )
+    cells = []
+    for k in range(len(names)):
+        value = F.col(f"e{k}")
+        for i, share in enumerate(shares):
+            many = F.col(f"_s.b{k}.n") >= WHOLE
+            low, high = (F.when(many, F.get(F.col(f"_s.b{k}.at"), F.lit(2 * i + side))) for side in (0, 1))
+            which = F.lit(k * len(shares) + i)
+            below = value < low if ends[2 * i] > 0.0 else F.lit(False)
+            inside = F.coalesce(value <= high, F.lit(True)) if ends[2 * i + 1] < 1.0 else F.lit(True)
+            inside = inside & value.isNotNull()
+            cells.append(
+                F.when(below, F.struct(which.alias("which"), F.lit(None).cast("double").alias("value")))
+                .when(inside, F.struct(which.alias("which"), value.alias("value")))
+            )
+    tally = (
+        attach(values, brackets).select(F.explode(F.array(*cells)).alias("c")).where("c is not null")
+        .groupBy("c.which", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    # The rows below a bracket are one row without a value, which comes first.
+    so_far = Window.partitionBy("which").orderBy(F.asc_nulls_first("value")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = attach(tally.withColumn("last", F.sum("n").over(so_far)), brackets)
+    total = F.element_at(
+        F.array(*[F.col(f"_s.b{k}.n") for k in range(len(names))]), F.floor(F.col("which") / len(shares)).cast("int") + 1
+    )
+    share = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("which") % len(shares) + 1)
+    spots = placed.select("which", "value", (F.col("last") - F.col("n")).alias("first"), "last", ((total - 1) * share).alias("spot"), total.alias("n"))
+    low, high = F.floor("spot"), F.least(F.floor("spot") + 1, F.col("n") - 1)
+    here = lambda at: F.max(F.when((F.col("first") <= at) & (at < F.col("last")), F.col("value")))
+    picked = spots.groupBy("which").agg(
+        here(low).alias("low"), here(high).alias("high"), F.max(F.col("spot") - F.floor("spot")).alias("part")
+    )
+    missed = F.raise_error(F.lit("a bracket of quantile_row does not hold its position")).cast("double")
+    between = F.when(
+        F.col("low").isNotNull() & F.col("high").isNotNull(), F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    ).otherwise(missed)
+    at = lambda k, i: F.max(F.when(F.col("which") == k * len(shares) + i, F.col("q")))
+    whole = picked.select("which", between.alias("q")).groupBy().agg(
+        F.lit(None).cast("int").alias("_"),
+        *[F.array(*[at(k, i) for i in range(len(shares))]).alias(f"q{k}") for k in range(len(names))],
     )
+    return whole.select(*[F.when(F.get(f"q{k}", F.lit(0)).isNotNull(), F.col(f"q{k}")).alias(name) for k, name in enumerate(names)])

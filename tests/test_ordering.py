@@ -60,3 +60,30 @@ def test_more_buckets_than_values(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert np.allclose(got, np.quantile(table["x"], [0.1, 0.9]))
+
+
+def test_brackets_leave_out_nearly_all_rows(spark):
+    """Above the size that is taken whole, rows below a bracket are one row and those above none."""
+    table = skewed(4, 60_000)
+    frame = spark.createDataFrame(table).repartition(7)
+    shares = [0.0, 0.001, 0.2, 0.5, 0.9, 1.0]
+    got = ordering.quantile_row(frame, ["x", "w"], shares).first()
+    for c in ("x", "w"):
+        assert np.allclose(got[c], np.quantile(table[c], shares), rtol=1e-12)
+
+
+def test_quantiles_of_subsets_in_one_call(spark):
+    from pyspark.sql import functions as F
+
+    table = skewed(5, 3000)
+    frame = spark.createDataFrame(table)
+    parts = {"ones": F.when(F.col("w") == 1, F.col("x")), "none": F.when(F.col("w") == 9, F.col("x"))}
+    row = ordering.bracketed_quantiles(frame, parts, [0.5]).first()
+    assert row["ones"][0] == pytest.approx(np.median(table["x"][table["w"] == 1])) and row["none"] is None
+
+
+def test_quantiles_move_no_row_by_its_value(spark):
+    """The only exchanges are those of counts inside the brackets."""
+    frame = spark.range(100).selectExpr("cast(id as double) as x", "cast(id % 7 as double) as y")
+    plan = ordering.quantile_row(frame, ["x", "y"], [0.25, 0.5])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "BroadcastHashJoin" not in plan
