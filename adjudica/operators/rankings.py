@@ -11,7 +11,7 @@ from adjudica.operators.metrics import ranking_metrics
 from adjudica.operators.preprocess import encoded_names
 from adjudica.operators.selection import one_standard_error, rank_consensus
 from adjudica.operators.splits import mark_holdout
-from adjudica.operators.validation import ModelPlan, cross_validate
+from adjudica.operators.validation import ModelPlan, cross_validate_all
 from adjudica.session import materialize
 from adjudica.spec import KNOBS, TableSpec
 
@@ -121,12 +121,13 @@ def selection_curve(
     folds: int = KNOBS.folds,
 ) -> DataFrame:
     """Cross-validated score of the first k features for every k, to four places."""
-    rows = []
-    for k in range(1, len(ordered) + 1):
-        numeric, categorical = spec.split_types(ordered[:k])
-        plan = ModelPlan(spec.target, tuple(numeric), tuple(categorical), name, params)
-        found = cross_validate(frame, plan, folds)
-        rows.append((k, ordered[k - 1], round(found["mean"], 4), round(found["std"], 4)))
+    sizes = range(1, len(ordered) + 1)
+    split = [spec.split_types(ordered[:k]) for k in sizes]
+    plans = [ModelPlan(spec.target, tuple(num), tuple(cat), name, params) for num, cat in split]
+    scores = cross_validate_all(frame, plans, folds)
+    rows = [
+        (k, ordered[k - 1], round(found["mean"], 4), round(found["std"], 4)) for k, found in zip(sizes, scores)
+    ]
     return frame.sparkSession.createDataFrame(
         rows, "k int, added string, mean double, std double"
     )

@@ -12,7 +12,7 @@ from adjudica.functions.attach import attach, long_form
 from adjudica.functions.ordering import quantile_row
 from adjudica.operators.classifiers import get_model
 from adjudica.operators.profile import band_index
-from adjudica.operators.validation import ModelPlan, cross_validate
+from adjudica.operators.validation import ModelPlan, cross_validate_all
 from adjudica.spec import KNOBS
 
 
@@ -35,12 +35,13 @@ def tune(
 
     ``fixed`` overrides drawn parameters. The holdout is never read here.
     """
-    rows = []
-    for i, drawn in enumerate(draw_params(plan.name, trials, seed)):
-        params = {**drawn, **(fixed or {})}
-        tried = ModelPlan(plan.target, plan.numeric, plan.categorical, plan.name, params)
-        score = cross_validate(frame, tried, folds)["mean"]
-        rows.append((i, score, {p: float(v) for p, v in params.items()}, "complete"))
+    tried = [{**drawn, **(fixed or {})} for drawn in draw_params(plan.name, trials, seed)]
+    plans = [ModelPlan(plan.target, plan.numeric, plan.categorical, plan.name, params) for params in tried]
+    scores = cross_validate_all(frame, plans, folds)
+    rows = [
+        (i, score["mean"], {p: float(v) for p, v in params.items()}, "complete")
+        for i, (params, score) in enumerate(zip(tried, scores))
+    ]
     return frame.sparkSession.createDataFrame(
         rows, "number int, value double, params map<string,double>, state string"
     )

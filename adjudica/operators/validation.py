@@ -17,9 +17,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adjudica.operators.batched_logistic import Fit, fit_batch
 from adjudica.operators.classifiers import DEFAULT_MODEL, MODELS, fit_model, score_rows
 from adjudica.operators.metrics import ranking_metrics
 from adjudica.operators.splits import draw
+from adjudica.session import materialize
 from adjudica.spec import KNOBS
 
 PARALLEL_FITS = 4
@@ -65,10 +67,40 @@ def fold_models(frame: DataFrame, plan: ModelPlan, folds: int) -> list[PipelineM
     )
 
 
+def in_one_batch(plan: ModelPlan) -> bool:
+    """Whether the plan's fits can be part of one batch of logistic regressions."""
+    return plan.name == "logistic_regression" and not plan.bottleneck and set(plan.params or {}) <= {"C"}
+
+
+def fold_fits(plan: ModelPlan, folds: int) -> list[Fit]:
+    """The plan's fit on the other folds, for each fold; a fold is a cell."""
+    strength = float((plan.params or {}).get("C", 1.0))
+    cells = range(folds)
+    return [
+        Fit(tuple(plan.numeric), tuple(plan.categorical), frozenset(cells) - {k}, strength) for k in cells
+    ]
+
+
+def batch_out_of_fold(
+    frame: DataFrame, plans: Sequence[ModelPlan], folds: int = KNOBS.folds, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``out_of_fold`` of many plans, all fitted together: kept columns, plan (its place), fold, y and p."""
+    target = plans[0].target
+    fits = [f for plan in plans for f in fold_fits(plan, folds)]
+    batch = fit_batch(frame, target, "fold", fits)
+    asked = [
+        (i * folds + k, frozenset([k]), (i, k)) for i in range(len(plans)) for k in range(folds)
+    ]
+    scored = batch.score(frame, asked, keep, "plan int, fold int")
+    return scored.withColumn("y", F.col("y").cast(frame.schema[target].dataType))
+
+
 def out_of_fold(
     frame: DataFrame, plan: ModelPlan, folds: int = KNOBS.folds, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Every row scored by the model that did not see it: kept columns, fold, y and p."""
+    if in_one_batch(plan):
+        return batch_out_of_fold(frame, [plan], folds, keep).drop("plan")
     models = fold_models(frame, plan, folds)
     parts = [
         score_rows(m, frame.where(F.col("fold") == k)).select(
@@ -84,15 +116,33 @@ def fold_scores(frame: DataFrame, plan: ModelPlan, folds: int = KNOBS.folds) ->
     return ranking_metrics(out_of_fold(frame, plan, folds), keys=["fold"])
 
 
-def cross_validate(frame: DataFrame, plan: ModelPlan, folds: int = KNOBS.folds) -> dict:
-    """Mean and population deviation of the average precision over the folds, and the folds."""
-    found = sorted(fold_scores(frame, plan, folds).select("fold", "average_precision").collect())
-    values = [row[1] for row in found]
+def _summary(values: list[float]) -> dict:
     mean = sum(values) / len(values)
     deviation = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
     return {"mean": mean, "std": deviation, "folds": values}
 
 
+def cross_validate(frame: DataFrame, plan: ModelPlan, folds: int = KNOBS.folds) -> dict:
+    """Mean and population deviation of the average precision over the folds, and the folds."""
+    return cross_validate_all(frame, [plan], folds)[0]
+
+
+def cross_validate_all(frame: DataFrame, plans: Sequence[ModelPlan], folds: int = KNOBS.folds) -> list[dict]:
+    """``cross_validate`` of each plan; logistic regressions are fitted and scored together."""
+    together = [i for i, plan in enumerate(plans) if in_one_batch(plan)]
+    found: dict[int, dict] = {}
+    if together:
+        scored = batch_out_of_fold(frame, [plans[i] for i in together], folds)
+        rows = ranking_metrics(scored, keys=["plan", "fold"]).select("plan", "fold", "average_precision").collect()
+        for place, i in enumerate(together):
+            found[i] = _summary([value for of, _, value in sorted(rows) if of == place])
+    for i, plan in enumerate(plans):
+        if i not in found:
+            rows = fold_scores(frame, plan, folds).select("fold", "average_precision").collect()
+            found[i] = _summary([value for _, value in sorted(rows)])
+    return [found[i] for i in range(len(plans))]
+
+
 def compare_models(
     frame: DataFrame,
     plan: ModelPlan,
@@ -101,13 +151,11 @@ def compare_models(
     params: Mapping[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
     """Cross-validated score of each registered classifier, best first."""
-    rows = []
-    for name in names:
-        chosen = ModelPlan(
-            plan.target, plan.numeric, plan.categorical, name, (params or {}).get(name)
-        )
-        found = cross_validate(frame, chosen, folds)
-        rows.append((name, found["mean"], found["std"]))
+    plans = [
+        ModelPlan(plan.target, plan.numeric, plan.categorical, name, (params or {}).get(name)) for name in names
+    ]
+    found = cross_validate_all(frame, plans, folds)
+    rows = [(name, each["mean"], each["std"]) for name, each in zip(names, found)]
     table = frame.sparkSession.createDataFrame(rows, "model string, mean double, std double")
     return table.orderBy(F.desc("mean"))
 
@@ -156,43 +204,56 @@ def learning_curve(
 
     The shares are nested: a row enters at a share fixed by its key.
     """
-    shares = [0.1 + 0.9 * i / (sizes - 1) for i in range(sizes)]
+    shares = [0.1 + 0.9 * i / (sizes - 1) for i in range(sizes)] if sizes > 1 else [1.0]
+    # A row of step t is in the shares number t, t + 1, …; a cell is a fold and a step.
     u = draw(key, seed, "learning")
-
-    def part(item: tuple[float, int]) -> DataFrame:
-        share, k = item
-        train = frame.where((F.col("fold") != k) & (u < share))
-        model = plan.fit(train)
-        rows = train.withColumn("set", F.lit("train")).unionByName(
-            frame.where(F.col("fold") == k).withColumn("set", F.lit("validation"))
-        )
-        return score_rows(model, rows).select(
-            F.lit(share).alias("share"),
-            F.lit(k).alias("k"),
-            "set",
-            F.col(plan.target).alias("y"),
-            "p",
+    step = sum((u >= share).cast("int") for share in shares[:-1]) if sizes > 1 else F.lit(0)
+    celled = frame.withColumn("_cell", F.col("fold") * sizes + step)
+    trained = {
+        (i, k): frozenset(f * sizes + t for f in range(folds) if f != k for t in range(i + 1))
+        for i in range(sizes)
+        for k in range(folds)
+    }
+    held = {k: frozenset(k * sizes + t for t in range(sizes)) for k in range(folds)}
+    labels = "i int, k int, set string"
+    asked = [
+        (n, cells, (i, k, name))
+        for n, (i, k) in enumerate(trained)
+        for name, cells in (("train", trained[i, k]), ("validation", held[k]))
+    ]
+    if in_one_batch(plan):
+        strength = float((plan.params or {}).get("C", 1.0))
+        fits = [Fit(tuple(plan.numeric), tuple(plan.categorical), c, strength) for c in trained.values()]
+        scored = fit_batch(celled, plan.target, "_cell", fits).score(celled, asked, labels=labels)
+    else:
+        scored = _scored_apart(celled, plan, asked, list(trained.values()))
+    found = ranking_metrics(scored, keys=["i", "k", "set"])
+    counts = scored.groupBy("i", "k", "set").agg(F.count(F.lit(1)).alias("rows"))
+    summary = (
+        found.join(F.broadcast(counts), ["i", "k", "set"])
+        .groupBy("i", "set")
+        .agg(
+            F.avg("rows").alias("rows"),
+            F.avg("average_precision").alias("mean"),
+            F.stddev_pop("average_precision").alias("std"),
         )
+    )
+    share = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("i") + 1)
+    return summary.select(share.alias("share"), "set", "rows", "mean", "std")
 
-    rows = []
-    for share in shares:
-        parts = in_parallel(frame.sparkSession, part, [(share, k) for k in range(folds)])
-        scored = reduce(DataFrame.unionByName, parts)
-        found = ranking_metrics(scored, keys=["k", "set"])
-        sizes_of = scored.groupBy("k", "set").agg(F.count(F.lit(1)).alias("rows"))
-        summary = (
-            found.join(F.broadcast(sizes_of), ["k", "set"])
-            .groupBy("set")
-            .agg(
-                F.avg("rows").alias("rows"),
-                F.avg("average_precision").alias("mean"),
-                F.stddev_pop("average_precision").alias("std"),
-            )
-        )
-        rows += [(share, r["set"], r["rows"], r["mean"], r["std"]) for r in summary.collect()]
-    return frame.sparkSession.createDataFrame(
-        rows, "share double, set string, rows double, mean double, std double"
+
+def _scored_apart(frame: DataFrame, plan: ModelPlan, asked, cells: list) -> DataFrame:
+    """The rows of ``asked`` scored by one pipeline per training subset, stored because each is costly."""
+    models = in_parallel(
+        frame.sparkSession, lambda c: plan.fit(frame.where(F.col("_cell").isin(*c))), cells
     )
+    parts = [
+        score_rows(models[n], frame.where(F.col("_cell").isin(*scored))).select(
+            F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(name).alias("set"), F.col(plan.target).cast("double").alias("y"), "p"
+        )
+        for n, scored, (i, k, name) in asked
+    ]
+    return materialize(reduce(DataFrame.unionByName, parts), "learning")
 
 
 def embedding_verdict(frame: DataFrame, plan: ModelPlan, folds: int = KNOBS.folds) -> DataFrame:
@@ -200,7 +261,7 @@ def embedding_verdict(frame: DataFrame, plan: ModelPlan, folds: int = KNOBS.fold
     width = plan.bottleneck or KNOBS.bottleneck
     plain = ModelPlan(plan.target, plan.numeric, plan.categorical, plan.name, plan.params)
     coded = ModelPlan(plan.target, plan.numeric, plan.categorical, plan.name, plan.params, width, plan.network_steps)
-    without, with_it = cross_validate(frame, plain, folds), cross_validate(frame, coded, folds)
+    without, with_it = cross_validate_all(frame, [plain, coded], folds)
     gain = with_it["mean"] - without["mean"]
     keep = gain > without["std"] / folds**0.5
     rows = [
