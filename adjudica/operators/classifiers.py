@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adjudica.operators.preprocess import preprocessor
+from adjudica.session import spread
 from adjudica.spec import KNOBS
 
 WEIGHT, CENTRED = "__class_weight", "__centred"
@@ -179,7 +180,7 @@ def fit_model(
     used = train.select(target, *numeric, *categorical).where(F.col(target).isNotNull())
     counts = {r[0]: r[1] for r in used.groupBy(target).count().collect()}
     rows = sum(counts.values())
-    weighted = used.withColumn(WEIGHT, balanced_weight(counts, target))
+    weighted = spread(used, rows).withColumn(WEIGHT, balanced_weight(counts, target))
     classifier = kind.estimator(params, rows)
     classifier.setLabelCol(target).setFeaturesCol("features").setWeightCol(WEIGHT)
     prepared = preprocessor(

@@ -16,7 +16,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import StandardScalerModel
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from adjudica.operators.explain import reason_columns, slot_label
 from adjudica.operators.preprocess import FILLED, encoded_names
-from adjudica.session import new_path
+from adjudica.session import new_path, spread
 from adjudica.spec import KNOBS, READABLE_NAMES
 
 SMALL_PATH = 6  # paths this short tabulate all 2^d patterns once
+BLOCK_LEAVES, BLOCK_ROWS = 128, 2048  # worked on at a time
 
 
 @dataclass(frozen=True)
@@ -91,36 +92,101 @@ def _leaves(nodes: dict[int, dict], weight: float, probability: bool) -> list[Le
     return found
 
 
-def _pattern_values(leaf: Leaf, passed: np.ndarray) -> np.ndarray:
-    """Contribution of each path feature for each row of 0/1 test results."""
-    size = len(leaf.features)
+def _pattern_values(value: np.ndarray, share: np.ndarray, passed: np.ndarray) -> np.ndarray:
+    """Contribution of each path feature (last axis) for leaf values, shares and 0/1 test results."""
+    size = share.shape[-1]
     nodes, weights = np.polynomial.legendre.leggauss((size + 1) // 2)
     t, w = (nodes + 1) / 2, weights / 2
-    z = leaf.share[None, :, None]
-    factors = z * (1 - t) + passed[:, :, None] * t
-    others = factors.prod(axis=1, keepdims=True) / factors
-    return leaf.value * (passed - leaf.share) * (others * w).sum(axis=2)
+    factors = share[..., None] * (1 - t) + passed[..., None] * t
+    others = factors.prod(axis=-2, keepdims=True) / factors
+    return value[..., None] * (passed - share) * (others * w).sum(axis=-1)
 
 
-def contributions_of(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
-    """Contributions of all features for the rows of ``x``."""
-    result = np.zeros_like(x)
-    for leaf in leaves:
-        size = len(leaf.features)
-        if size == 0:
-            continue
-        part = x[:, leaf.features]
-        passed = (part > leaf.low) & (part <= leaf.high)
-        code = passed @ (1 << np.arange(size, dtype=np.int64))
+@dataclass(frozen=True)
+class PathTable:
+    """Up to ``BLOCK_LEAVES`` leaves whose paths test equally many features, position by position.
+
+    ``features``, ``low``, ``high`` and ``share`` have a row per position and a column per leaf. For short paths
+    ``values`` holds each position's contribution for all 2^d patterns of passed tests of each leaf.
+    ``order`` sorts the leaves by a position's feature; a feature's run starts at ``starts``.
+    """
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+    values: np.ndarray | None
+    order: list[np.ndarray]
+    starts: list[np.ndarray]
+
+    @staticmethod
+    def of(leaves: list[Leaf]) -> PathTable:
+        features = np.stack([leaf.features for leaf in leaves], axis=1)
+        low, high, share = (
+            np.stack([getattr(leaf, name) for leaf in leaves], axis=1) for name in ("low", "high", "share")
+        )
+        value = np.array([leaf.value for leaf in leaves])
+        size, values = len(features), None
         if size <= SMALL_PATH:
-            patterns, place = np.arange(1 << size), code
-        else:
-            patterns, place = np.unique(code, return_inverse=True)
-        bits = ((patterns[:, None] >> np.arange(size)) & 1).astype(float)
-        result[:, leaf.features] += _pattern_values(leaf, bits)[place]
+            patterns = ((np.arange(1 << size)[:, None] >> np.arange(size)) & 1).astype(float)
+            values = np.moveaxis(_pattern_values(value[:, None], share.T[:, None, :], patterns[None]), 2, 0)
+            values = np.ascontiguousarray(values.reshape(size, -1))
+        order = [np.argsort(f, kind="stable") for f in features]
+        starts = [np.flatnonzero(np.diff(f[o], prepend=-1)) for f, o in zip(features, order)]
+        return PathTable(features, low, high, share, value, values, order, starts)
+
+    def add_to(self, result: np.ndarray, x: np.ndarray) -> None:
+        """Add the leaves' contributions; both arrays have a row per feature and a column per table row."""
+        size, leaves = self.features.shape
+        code = np.zeros((leaves, x.shape[1]), dtype=np.int64)
+        for j in range(size):
+            part = x[self.features[j]]
+            code |= ((part > self.low[j][:, None]) & (part <= self.high[j][:, None])).astype(np.int64) << j
+        code += np.arange(leaves, dtype=np.int64)[:, None] << size
+        values = self.values
+        if values is None:
+            # Too many patterns to list: only those that occur are worked out.
+            found, place = np.unique(code, return_inverse=True)
+            code = place.reshape(code.shape)
+            bits = ((found[:, None] >> np.arange(size)) & 1).astype(float)
+            leaf = found >> size
+            values = _pattern_values(self.value[leaf], self.share.T[leaf], bits).T
+        for j in range(size):
+            parts = values[j][code][self.order[j]]
+            sums = np.add.reduceat(parts, self.starts[j], axis=0)
+            result[self.features[j][self.order[j]][self.starts[j]]] += sums
+
+
+def path_tables(leaves: list[Leaf]) -> list[PathTable]:
+    """All leaves, those of one path length together."""
+    by_length: dict[int, list[Leaf]] = {}
+    for leaf in leaves:
+        if len(leaf.features):
+            by_length.setdefault(len(leaf.features), []).append(leaf)
+    return [
+        PathTable.of(group[k : k + BLOCK_LEAVES])
+        for _, group in sorted(by_length.items())
+        for k in range(0, len(group), BLOCK_LEAVES)
+    ]
+
+
+def contributions_by_tables(tables: list[PathTable], x: np.ndarray) -> np.ndarray:
+    """Contributions of all features for the rows of ``x``, ``BLOCK_ROWS`` rows at a time."""
+    result = np.empty_like(x)
+    for first in range(0, len(x), BLOCK_ROWS):
+        part = np.ascontiguousarray(x[first : first + BLOCK_ROWS].T)
+        sums = np.zeros_like(part)
+        for table in tables:
+            table.add_to(sums, part)
+        result[first : first + BLOCK_ROWS] = sums.T
     return result
 
 
+def contributions_of(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
+    return contributions_by_tables(path_tables(leaves), x)
+
+
 def _expected(leaves: list[Leaf]) -> float:
     return float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
 
@@ -172,18 +238,22 @@ def _wide(model: PipelineModel, frame: DataFrame, key: str) -> tuple[DataFrame,
         return rows.select(key, "p", "shown", F.array(*part).alias("parts")), base
 
     leaves = model_leaves(model, frame.sparkSession)
-    shared = frame.sparkSession.sparkContext.broadcast(leaves)
+    shared = frame.sparkSession.sparkContext.broadcast(path_tables(leaves))
+    kind = dict(rows.dtypes)[key]
+    rows = spread(rows)
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                values = np.stack(batch["x"].to_numpy()).astype(float)
-                parts = contributions_of(shared.value, values)
-                yield batch.drop(columns="x").assign(parts=list(parts))
+            if batch.num_rows:
+                x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                parts = contributions_by_tables(shared.value, x)
+                ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(parts.ravel()))
+                kept = [batch[c] for c in (key, "p", "shown")]
+                yield pa.RecordBatch.from_arrays([*kept, lists], [key, "p", "shown", "parts"])
 
-    kind = dict(rows.dtypes)[key]
     schema = f"{key} {kind}, p double, shown array<double>, parts array<double>"
-    return rows.mapInPandas(explain, schema), _expected(leaves)
+    return rows.mapInArrow(explain, schema), _expected(leaves)
 
 
 def explain_model(model: PipelineModel, frame: DataFrame, key: str) -> tuple[DataFrame, float]:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import functools
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task of heavy work takes before a small table is spread.
+SPREAD_ROWS = 5_000
+
 
 def build_session(app: str = "adjudica", master: str | None = None, **settings) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -59,3 +63,17 @@ def materialize(frame: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(spark, label)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def spread(frame: DataFrame, rows: int | None = None) -> DataFrame:
+    """``frame`` in a partition per ``SPREAD_ROWS`` rows, at most one per core, if it has fewer.
+
+    A small stored table is one file and so one task, which is too few for work that is heavy per row.
+    Large tables have more partitions than that and stay as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    now = frame.rdd.getNumPartitions()
+    if now >= cores:
+        return frame
+    wanted = min(cores, math.ceil((frame.count() if rows is None else rows) / SPREAD_ROWS))
+    return frame.repartition(wanted) if wanted > now else frame

@@ -131,6 +131,23 @@ def test_long_paths_take_the_pattern_route(spark):
     assert np.allclose(got.sum(axis=1), full)
 
 
+def test_path_tables_of_many_leaves_add_up_leaf_by_leaf():
+    """Blocks of leaves, short and long paths and shared features give the sums of single leaves."""
+    random = np.random.default_rng(1)
+    leaves = []
+    for _ in range(300):
+        size = int(random.integers(0, 9))
+        features = np.sort(random.choice(12, size, replace=False))
+        low = random.normal(-1, 1, size)
+        leaves.append(tree_contributions.Leaf(features, low, low + 2, random.uniform(0.1, 1, size), random.normal()))
+    x = random.normal(size=(2100, 12))
+    alone = sum(tree_contributions.contributions_of([leaf], x[-60:]) for leaf in leaves)
+    assert np.allclose(tree_contributions.contributions_of(leaves, x)[-60:], alone, atol=1e-12)
+    passed = lambda leaf: ((x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)).all(axis=1)
+    margin = sum(leaf.value * (passed(leaf) - leaf.share.prod()) for leaf in leaves)
+    assert np.allclose(tree_contributions.contributions_of(leaves, x).sum(axis=1), margin)
+
+
 def test_explanations_add_up_and_show_unscaled_values(spark, engineered):
     model = BOOSTED.fit(engineered)
     long, base = tree_contributions.explain_model(model, engineered, "applicant_id")
