@@ -3,6 +3,12 @@
 
 def load_queries():
     """Import every module that registers queries and return the registry."""
-    from adjudica.plans import decision_queries, model_queries, registry, table_queries  # noqa: F401
+    from adjudica.plans import (  # noqa: F401
+        decision_queries,
+        model_queries,
+        property_queries,
+        registry,
+        table_queries,
+    )
 
     return registry
