@@ -264,6 +264,7 @@ def embedding_verdict(frame: DataFrame, plan: ModelPlan, folds: int = KNOBS.fold
     without, with_it = cross_validate_all(frame, [plain, coded], folds)
     gain = with_it["mean"] - without["mean"]
     keep = gain > without["std"] / folds**0.5
+    # The wording of the verdict.
     rows = [
         ("engineered only", without["mean"], without["std"], 0.0, "baseline"),
         (
