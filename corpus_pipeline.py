@@ -52,7 +52,8 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Packing is not expressible in SQL; tests compare each stage with brute force.
+#: Packing is not expressible in SQL. The operators are tested against brute force; the test of the stages
+#: checks columns, that rows only go, and that packed ids are those of the documents kept.
 ORACLE_SQL = None
 
 
