@@ -104,3 +104,12 @@ def test_a_whole_fit_scores_like_the_pipeline(engineered):
     left = {r[0]: r[1] for r in score_rows(model, engineered).select("applicant_id", "p").collect()}
     right = {r[0]: r[2] for r in ours.score(engineered, [(0, whole, ())], ["applicant_id"]).collect()}
     assert max(abs(left[k] - right[k]) for k in left) < 1e-6
+
+
+def test_embedding_verdict_follows_the_one_standard_error_rule(engineered):
+    plan = validation.ModelPlan(TARGET, ("Age", "Income", "CreditScore"), (), "logistic_regression", bottleneck=2, network_steps=3)
+    base, coded = validation.embedding_verdict(engineered, plan, 3).collect()
+    assert (base["verdict"], base["difference"]) == ("baseline", 0.0)
+    assert coded["features"] == "engineered + autoencoder(2)"
+    assert coded["difference"] == pytest.approx(coded["cv_pr_auc"] - base["cv_pr_auc"], abs=1e-12)
+    assert (coded["verdict"] == "keep") == (coded["difference"] > base["std"] / 3**0.5)
