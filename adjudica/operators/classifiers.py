@@ -180,8 +180,10 @@ def fit_model(
     used = train.select(target, *numeric, *categorical).where(F.col(target).isNotNull())
     counts = {r[0]: r[1] for r in used.groupBy(target).count().collect()}
     rows = sum(counts.values())
-    weighted = spread(used, rows).withColumn(WEIGHT, balanced_weight(counts, target))
     classifier = kind.estimator(params, rows)
+    if not isinstance(classifier, LogisticRegression):
+        used = spread(used, rows)  # trees read their rows hundreds of times
+    weighted = used.withColumn(WEIGHT, balanced_weight(counts, target))
     classifier.setLabelCol(target).setFeaturesCol("features").setWeightCol(WEIGHT)
     prepared = preprocessor(
         list(numeric), list(categorical), bottleneck, network_steps=network_steps
