@@ -2,9 +2,9 @@
 
 Byte-pair merges never cross a word of the vocabulary's own pattern, so a text's ids are those of
 its words one after another. Web text repeats its words; each Python worker therefore keeps the ids
-of words it has met, in two bounded tables: pieces between spaces, which
-need no pattern to find, and below them the words. A full table becomes the older one, which is asked on a
-miss, and an empty one takes its place; that changes the time and nothing else.
+of words it has met, in two bounded tables: pieces between spaces, which need no pattern to find, and
+below them the words of pieces that hold more than letters. A full table becomes the older one, which
+is asked on a miss, and an empty one takes its place; that changes the time and nothing else.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = byte_alphabet()
-#: Pieces and words in a table; with the older ones about 60 and 110 MB.
-MOST_PIECES, MOST_WORDS = 125_000, 300_000
+#: Pieces and words in a table; with the older ones about 90 and 30 MB.
+MOST_PIECES, MOST_WORDS = 200_000, 75_000
 
 
 class WordTable:
@@ -91,7 +91,9 @@ class WordTable:
                         self.pieces, self.older_pieces = {}, self.pieces
                     value = self.older_pieces.get(piece)
                     if value is None:
-                        value = self._of_words(self.find(" " + piece))
+                        # Letters behind a space are one word, which this table alone need keep.
+                        whole = piece.isalpha()
+                        value = self.value(" " + piece) if whole else self._of_words(self.find(" " + piece))
                     values[k] = self.pieces[piece] = value
         return self.total([self._of_words(self.find(first)), *values])
 
@@ -106,6 +108,8 @@ class IdTable(WordTable):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.total = b"".join
+        self.largest = max(self.library.get_vocab().values())
+        self.packed = [struct.pack("<I", k) for k in range(self.largest + 1)]
         self.to_alphabet = str.maketrans({chr(b): c for b, c in _ALPHABET.items()})
         added = self.library.get_added_tokens_decoder()
         self.added = {token.content: struct.pack("<I", k) for k, token in added.items()}
@@ -113,7 +117,7 @@ class IdTable(WordTable):
 
     def value(self, word: str) -> bytes:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.to_alphabet))
-        return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+        return b"".join([self.packed[token.id] for token in tokens])
 
     def special_value(self, text: str) -> bytes:
         return self.added[text]
@@ -125,6 +129,10 @@ def id_table(path: str) -> IdTable:
     return IdTable(path)
 
 
+def largest_id(path: str) -> int:
+    return id_table(path).largest
+
+
 def encode_column(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as bytes; null counts as empty."""
     table = id_table(path)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows that a task turns into Python values at a time; bounds memory, changes no result.
-SLICE_ROWS = 500
+#: Rows, and bytes of text or binary values, that a task turns into Python values at a time (one row
+#: at least); they bound memory and change no result.
+SLICE_ROWS, SLICE_BYTES = 500, 2_000_000
 #: bytes.translate() with this lower-cases A-Z and turns each byte outside a word into a space.
 ALNUM_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -44,6 +47,22 @@ def row_key(doc_id: Column, text: Column) -> Column:
     )
 
 
+def _cuts(batch: pa.RecordBatch) -> list[int]:
+    """Where to cut a batch into slices, ends included."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    cuts = [0]
+    while cuts[-1] < batch.num_rows:
+        first = cuts[-1]
+        before = ends[first - 1] if first else 0
+        last = int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))
+        cuts.append(min(batch.num_rows, first + SLICE_ROWS, max(last, first + 1)))
+    return cuts
+
+
 def map_batches(
     frame: DataFrame,
     work: Callable[[Iterable[dict[str, list]]], Iterator[dict[str, list]]],
@@ -59,8 +78,9 @@ def map_batches(
 
     def slices(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, SLICE_ROWS):
-                yield batch.slice(first, SLICE_ROWS).to_pydict()
+            cuts = _cuts(batch)
+            for first, last in zip(cuts, cuts[1:]):
+                yield batch.slice(first, last - first).to_pydict()
 
     def run(batches):
         for rows in work(slices(batches)):

@@ -50,7 +50,7 @@ class SumOfSquares:
 
 
 def _pack_task(batches, vocabulary: str, end_id: int, size: int):
-    """Pieces (doc_id, start, ids, doc_tokens, sequence_id, offset) of one task's documents."""
+    """Pieces (doc_id, start, ids, doc_tokens, sequence_id, offset, placed) of one task's documents."""
     packer = SumOfSquares(size)
     base = TaskContext.get().partitionId() * TASK_STRIDE
     used = 0
@@ -68,33 +68,52 @@ def _pack_task(batches, vocabulary: str, end_id: int, size: int):
             total = len(ids) // 4
             whole = total - total % size
             for start in range(0, whole, size):
-                yield doc_id, start, ids[4 * start : 4 * (start + size)], total, new_window(), 0
+                yield doc_id, start, ids[4 * start : 4 * (start + size)], total, new_window(), 0, True
             if whole < total:
                 window, offset = packer.place(total - whole, new_window)
                 piece = (doc_id, whole, ids[4 * whole :], total)
                 if offset + total - whole == size:
                     filled = 0
                     for kept in [*open_pieces.pop(window, []), piece]:
-                        yield *kept, window, filled
+                        yield *kept, window, filled, True
                         filled += len(kept[2]) // 4
                 else:
                     open_pieces.setdefault(window, []).append(piece)
 
-    # What is still open is laid end to end and cut at the window size; the rest is cut into powers
-    # of two, which need no padding.
-    rest = [piece for pieces in open_pieces.values() for piece in pieces]
-    left = sum(len(piece[2]) // 4 for piece in rest)
-    window, room, filled = -1, 0, 0
-    for doc_id, start, ids, total in rest:
-        while ids:
-            if not room:
-                room = size if left >= size else 1 << (left.bit_length() - 1)
-                window, filled = new_window(), 0
-            taken = ids[: 4 * room]
+    yield from _close(list(open_pieces.items()), size, new_window)
+
+
+def _close(open_windows: list[tuple[int, list[tuple]]], size: int, new_window):
+    """Pieces of the windows that are open at the end; all keep their place but those of donors.
+
+    As many of the fullest windows stay as all open tokens can fill. The others are donors: their
+    pieces, those of the emptiest first, are cut to fill the rooms of the windows that stay, which
+    moves the fewest tokens that padding nothing allows. What remains, less than a window, is cut
+    into powers of two.
+    """
+    fills = {window: sum(len(piece[2]) // 4 for piece in pieces) for window, pieces in open_windows}
+    order = sorted(open_windows, key=lambda found: (fills[found[0]], found[0]))
+    donors = len(order) - sum(fills.values()) // size
+    given = [piece for _, pieces in order[:donors] for piece in pieces][::-1]
+
+    def give(window: int, at: int, end: int):
+        while at < end:
+            doc_id, start, ids, total = given.pop()
+            taken = ids[: 4 * (end - at)]
             count = len(taken) // 4
-            yield doc_id, start, taken, total, window, filled
-            start, ids = start + count, ids[4 * count :]
-            room, filled, left = room - count, filled + count, left - count
+            if len(taken) < len(ids):
+                given.append((doc_id, start + count, ids[len(taken) :], total))
+            yield doc_id, start, taken, total, window, at, False
+            at += count
+
+    for window, pieces in order[donors:]:
+        at = 0
+        for piece in pieces:
+            yield *piece, window, at, True
+            at += len(piece[2]) // 4
+        yield from give(window, at, size)
+    while left := sum(len(piece[2]) // 4 for piece in given):
+        yield from give(new_window(), 0, 1 << (left.bit_length() - 1))
 
 
 def pack_documents(
@@ -104,16 +123,17 @@ def pack_documents(
 
     A document is its ids in ``vocabulary`` followed by ``end_id``. Whole windows are cut off its
     front; the tail is placed by the sum of squares among the windows of its task. At the end of a
-    task its open windows are laid end to end and cut anew, so that a task pads nothing: sequences are
-    full or a power of two long.
+    task the emptiest of its open windows are cut to fill the others, so that a task pads nothing:
+    sequences are full or a power of two long.
 
-    Returns doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+    Returns doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset and
+    placed: whether the piece stands where the sum of squares put it (whole windows do).
     Null text counts as empty: one piece holding the end id. Null ids stay null, repeated rows are
     packed each, an empty table gives no piece. The plan has no shuffle; a lost task packs its rows
     again to the same pieces. Memory: the pieces of a task's open windows.
     """
 
-    names = ("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset")
+    names = ("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset", "placed")
 
     def work(batches):
         rows, tokens = [], 0
@@ -129,5 +149,5 @@ def pack_documents(
     return map_batches(
         id_and_text(docs),
         work,
-        "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long",
+        "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, placed boolean",
     )

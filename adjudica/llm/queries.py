@@ -55,6 +55,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_tokens",
         "sequence_id",
         "offset",
+        "placed",
     )
 
 

@@ -9,15 +9,19 @@ values to a byte, the first in the lowest bits. File names and rows inside a fil
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adjudica.llm.bpe import encode_column
+from adjudica.llm.bpe import encode_column, largest_id
 from adjudica.llm.columns import id_and_text, map_batches
-from adjudica.session import materialize
+from adjudica.session import materialize, new_path
 
+#: What a file holds, and the size of its row groups.
+STORED = "doc_id long, tie long, n_tokens long, control binary, data binary"
+ROW_GROUP_BYTES = 1 << 24
 #: For each control byte the lengths of its four values.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 #: For each length the bits of a 32-bit word that belong to the value.
@@ -61,24 +65,38 @@ def unpack_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     return words & MASKS[lengths]
 
 
-def _ranked_ids(encoded: DataFrame) -> np.ndarray:
-    """All ids that occur, most frequent first, ties by id: as many as the vocabulary at most."""
+def _added(counts: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts per id, of which either may be longer."""
+    short, long = sorted((counts, more), key=len)
+    long[: len(short)] += short
+    return long
+
+
+def _ranked_counts(counted: DataFrame) -> list[tuple[int, int]]:
+    """(id, n) of all ids that occur, most frequent first, ties by id: at most the vocabulary.
+
+    ``counted`` (counts) holds one row per encoding task, ids and their counts as pairs of longs.
+    """
 
     def work(batches):
-        counts = np.zeros(0, dtype=np.int64)
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch["ids"]), dtype="<u4"))
-            if len(found) > len(counts):
-                found[: len(counts)] += counts
-                counts = found
-            else:
-                counts[: len(found)] += found
-        used = np.flatnonzero(counts)
-        yield {"id": used.tolist(), "n": counts[used].tolist()}
+            for counts in batch["counts"]:
+                pairs = np.frombuffer(counts, dtype="<i8").reshape(-1, 2)
+                if len(pairs):
+                    more = np.zeros(int(pairs[-1, 0]) + 1, dtype=np.int64)
+                    more[pairs[:, 0]] = pairs[:, 1]
+                    total = _added(total, more)
+        used = np.flatnonzero(total)
+        yield {"id": used.tolist(), "n": total[used].tolist()}
+
+    summed = map_batches(counted, work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return sorted(((r["id"], r["n"]) for r in summed.collect()), key=lambda r: (-r[1], r[0]))
+
 
-    counted = map_batches(encoded.select("ids"), work, "id long, n long").groupBy("id")
-    rows = counted.agg(F.sum("n").alias("n")).collect()
-    return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], dtype="<u4")
+def _write(frame: DataFrame, path: str, **options) -> None:
+    """Parquet in row groups small enough that several writers fit into one executor."""
+    frame.write.options(**{"parquet.block.size": str(ROW_GROUP_BYTES)}, **options).parquet(path)
 
 
 def write_token_files(
@@ -89,34 +107,58 @@ def write_token_files(
     Each document is the ids of its whole text by the tokenizers library, then ``end_id``; null text
     counts as empty. ``file_tokens`` is the wanted size of a file and changes nothing else. Rows with
     one doc_id follow each other by the checksum of their ids; null ids come first. An empty table
-    gives an empty folder of both tables. Texts are encoded once, into a table in the shared folder.
+    gives an empty folder of both tables.
+
+    Texts are encoded once, into a table in the shared folder: ids of two bytes where the vocabulary
+    allows, and in a task's last row how often it met each id. Ranks and the number of files come from
+    those rows; the ids then move once, into the files' ranges, and are written with their ranks.
     """
     spark = docs.sparkSession
-    end = end_id.to_bytes(4, "little")
 
     def encode(batches):
+        end = end_id.to_bytes(4, "little")
+        width = 2 if max(largest_id(vocabulary), end_id) < 1 << 16 else 4
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
+            texts = [ids + end for ids in encode_column(batch["text"], vocabulary)]
+            ids = np.frombuffer(b"".join(texts), dtype="<u4")
+            total = _added(total, np.bincount(ids))
+            small, at = ids.astype(f"<u{width}").tobytes(), 0
+            stored = []
+            for text in texts:
+                size = len(text) // 4 * width
+                stored.append(small[at : at + size])
+                at += size
             yield {
                 "doc_id": batch["doc_id"],
-                "ids": [ids + end for ids in encode_column(batch["text"], vocabulary)],
+                "tie": [zlib.crc32(text) for text in texts],
+                "width": [width] * len(texts),
+                "ids": stored,
+                "counts": [None] * len(texts),
             }
-
-    encoded = materialize(
-        map_batches(id_and_text(docs), encode, "doc_id long, ids binary"), "token-ids"
-    )
-    by_rank = _ranked_ids(encoded)
+        used = np.flatnonzero(total)
+        pairs = np.stack([used, total[used]], axis=1).astype("<i8").tobytes()
+        yield {name: [None] for name in ("doc_id", "tie", "width", "ids")} | {"counts": [pairs]}
+
+    schema = "doc_id long, tie long, width int, ids binary, counts binary"
+    path = new_path(spark, "token-ids")
+    _write(map_batches(id_and_text(docs), encode, schema), path)
+    encoded = spark.read.schema(schema).parquet(path)
+    by_rank = _ranked_counts(encoded.where("counts is not null").select("counts"))
     spark.createDataFrame(
-        [(k, int(i)) for k, i in enumerate(by_rank)], "rank int, id int"
+        [(rank, k) for rank, (k, _) in enumerate(by_rank)], "rank int, id int"
     ).coalesce(1).write.parquet(f"{folder}/ranks")
-    rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype=np.uint32)
-    rank_of[by_rank] = np.arange(len(by_rank))
-    tokens = encoded.agg(F.sum(F.length("ids")).alias("n")).first()["n"] or 0
-    files = max(1, math.ceil(tokens / 4 / file_tokens))
+    rank_of = np.zeros(max((k for k, _ in by_rank), default=0) + 1, dtype=np.uint32)
+    rank_of[[k for k, _ in by_rank]] = np.arange(len(by_rank))
+    files = max(1, math.ceil(sum(n for _, n in by_rank) / file_tokens))
 
     def compress(batches):
         for batch in batches:
-            counts = np.array([len(ids) // 4 for ids in batch["ids"]], dtype=np.int64)
-            packed = pack_values(rank_of[np.frombuffer(b"".join(batch["ids"]), dtype="<u4")], counts)
+            # One width for all rows: it follows from the vocabulary.
+            width = batch["width"][0]
+            counts = np.array([len(ids) // width for ids in batch["ids"]], dtype=np.int64)
+            ids = np.frombuffer(b"".join(batch["ids"]), dtype=f"<u{width}")
+            packed = pack_values(rank_of[ids], counts)
             yield {
                 "doc_id": batch["doc_id"],
                 "tie": batch["tie"],
@@ -125,13 +167,10 @@ def write_token_files(
                 "data": [data for _, data in packed],
             }
 
-    small = map_batches(
-        encoded.withColumn("tie", F.crc32("ids")),
-        compress,
-        "doc_id long, tie long, n_tokens long, control binary, data binary",
-    )
-    ordered = small.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.write.option("compression", "uncompressed").parquet(f"{folder}/documents")
+    rows = encoded.where("ids is not null").drop("counts")
+    ordered = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # Mapping keeps the order of the rows.
+    _write(map_batches(ordered, compress, STORED), f"{folder}/documents", compression="uncompressed")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,8 +192,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 "tie": batch["tie"],
             }
 
-    schema = "doc_id long, tie long, n_tokens long, control binary, data binary"
-    stored = spark.read.schema(schema).parquet(f"{folder}/documents")
+    stored = spark.read.schema(STORED).parquet(f"{folder}/documents")
     stored = stored.withColumn("file", F.col("_metadata.file_name"))
     return map_batches(stored, expand, "doc_id long, ids binary, file string, tie long")
 
@@ -162,14 +200,20 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def document_offsets(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of documents read back, in the order of the files.
 
-    Only narrow rows move: totals per file are summed up over files, then rows inside a file.
+    Only narrow rows are kept, in a table of the shared folder, so that ids are decoded once. Totals
+    per file are summed up over files, in the order of their first documents, then rows inside a file.
     """
-    narrow = tokens.select(
-        "doc_id", "tie", "file",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+    narrow = materialize(
+        tokens.select(
+            "doc_id", "tie", "file",
+            (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        ),
+        "token-counts",
+    )
+    totals = narrow.groupBy("file").agg(
+        F.sum("n_tokens").alias("total"), F.min(F.struct("doc_id", "tie")).alias("first")
     )
-    totals = narrow.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
         F.col("file").alias("of_file"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base")
     )
