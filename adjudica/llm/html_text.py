@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +50,11 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
-
-
-NESTED_TABLES = 10
+# The most columns and rows a cell of HTML may span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
@@ -126,16 +127,44 @@ def parse(page: str) -> Node:
     return root
 
 
-def _visible(node: Node) -> bool:
+def _shown(node: Node) -> bool:
     attributes = node.attributes
     return not (
         node.name in HIDDEN
         or "hidden" in attributes
-        or _UNSEEN.search(attributes.get("style", ""))
+        or _NOT_SHOWN.search(attributes.get("style", ""))
         or (node.name == "dialog" and "open" not in attributes)
     )
 
 
+def prune(root: Node) -> list[Node]:
+    """Take all that is not seen out of the tree; the tables left, those inside others after them.
+
+    An element that is not shown goes with all it holds. Invisible ones only lose their own text: what
+    is made visible inside them stays. A closed ``details`` keeps its summary.
+    """
+    order, work = [], [(root, True)]
+    while work:
+        node, seen = work.pop()
+        if found := _VISIBILITY.findall(node.attributes.get("style", "")):
+            seen = found[-1].lower() == "visible"
+        order.append((node, seen))
+        if node.name == "details" and "open" not in node.attributes:
+            summaries = [c for c in node.children if isinstance(c, Node) and c.name == "summary"]
+            node.children = summaries[:1]
+        node.children = [c for c in node.children if isinstance(c, str) or _shown(c)]
+        work += [(c, seen) for c in reversed(node.children) if isinstance(c, Node)]
+    empty = set()
+    for node, seen in reversed(order):
+        if not seen:
+            node.children = [c for c in node.children if isinstance(c, Node) and id(c) not in empty]
+            if not node.children:
+                empty.add(id(node))
+        elif empty:
+            node.children = [c for c in node.children if id(c) not in empty]
+    return [node for node, _ in order if node.name == "table" and id(node) not in empty]
+
+
 class Page:
     """Lines of text. Inline text is joined with single spaces; blocks ask for breaks before them."""
 
@@ -186,48 +215,109 @@ class Page:
         return "\n".join(line.rstrip() for line in self.lines).strip("\n")
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """Rows of cells in columns of equal width, two spaces apart; spans leave empty cells."""
-    rows, work = [], [(c, False) for c in reversed(node.children)]
+def _width(text: str) -> int:
+    """Columns that a line takes: wide characters two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    wide = sum(unicodedata.east_asian_width(c) in "WF" for c in text)
+    return len(text) + wide - sum(unicodedata.combining(c) > 0 for c in text)
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    found = cell.attributes.get(name, "1").strip()
+    return max(1, min(most, int(found[: len(str(most)) + 1]))) if found.isdecimal() else 1
+
+
+def _holding(child: Node | str, name: str) -> Node:
+    """A new element around something that stands in a table without one."""
+    holder = Node(name, {})
+    holder.children.append(child)
+    return holder
+
+
+def _rows(node: Node) -> list[list[Node] | Node]:
+    """Rows of cells of a table in reading order; what is no row stands between them as a block."""
+    rows, work = [], [*reversed(node.children)]
     while work:
-        child, _ = work.pop()
-        if isinstance(child, str) or not _visible(child):
-            if isinstance(child, str) and child.strip():
-                rows.append([_SPACE.sub(" ", child).strip()])
-            continue
-        if child.name in ("td", "th"):
-            loose = Node("tr", {})
-            loose.children.append(child)
-            child = loose
-        if child.name == "tr":
+        child = work.pop()
+        if isinstance(child, str):
+            if child.strip():
+                rows.append(_holding(child, "div"))
+        elif child.name in ("td", "th"):
+            rows.append([child])
+        elif child.name == "tr":
             cells = []
             for cell in child.children:
-                if isinstance(cell, str):
-                    if cell.strip():
-                        cells.append(_SPACE.sub(" ", cell).strip())
-                elif _visible(cell):
-                    cells.append(_SPACE.sub(" ", render(cell, depth)).strip())
-                    span = cell.attributes.get("colspan", "1")
-                    wide = int(span) if span.isdigit() and len(span) < 4 else 1
-                    cells += [""] * (max(1, wide) - 1)
+                if isinstance(cell, Node) and cell.name in ("td", "th"):
+                    cells.append(cell)
+                elif isinstance(cell, Node) or cell.strip():
+                    cells.append(_holding(cell, "td"))
             rows.append(cells)
-        elif child.name in ("thead", "tbody", "tfoot", "colgroup"):
-            work += [(c, False) for c in reversed(child.children)]
+        elif child.name in ("thead", "tbody", "tfoot", "colgroup", "form"):
+            work += reversed(child.children)
         else:
-            rows.append([_SPACE.sub(" ", render(child, depth)).strip()])
-    rows = [cells for cells in rows if any(cells)]
-    widths: list[int] = []
-    for cells in rows:
-        if len(cells) > 1:
-            widths += [0] * (len(cells) - len(widths))
-            for k, cell in enumerate(cells):
-                widths[k] = max(widths[k], len(cell))
-    return ["  ".join(c.ljust(widths[k]) if len(cells) > 1 else c for k, c in enumerate(cells)).rstrip() for cells in rows]
-
-
-def render(root: Node, depth: int = 0) -> str:
-    """All visible text below ``root`` in reading order; tables in tables are laid out to a depth of
-    ``NESTED_TABLES`` and are plain blocks below it."""
+            rows.append(_holding(child, "div"))
+    return rows
+
+
+def _table(node: Node, tables: dict[int, list[str]]) -> list[str]:
+    """Lines of a table: its cells are blocks of lines, side by side in columns two spaces apart.
+
+    A cell that spans columns or rows stands in the first of them and leaves the others empty. Columns
+    without text take no room. A row of one cell in the first column does not widen it.
+    """
+    grid: list[list[tuple[int, list[str]]]] = []
+    taken: dict[int, int] = {}  # column: rows for which a cell above still covers it
+    for row in _rows(node):
+        if isinstance(row, Node):
+            grid.append([(0, render(row, tables).split("\n"))])
+            continue
+        covered = set(taken)
+        taken = {column: rows - 1 for column, rows in taken.items() if rows > 1}
+        placed, column = [], 0
+        for cell in row:
+            while column in covered:
+                column += 1
+            placed.append((column, render(cell, tables).split("\n")))
+            down = _span(cell, "rowspan", MOST_ROWS)
+            for _ in range(_span(cell, "colspan", MOST_COLUMNS)):
+                if down > 1:
+                    taken[column] = down - 1
+                column += 1
+        grid.append(placed)
+    widths: dict[int, int] = {}
+    for placed in grid:
+        if len(placed) > 1 or (placed and placed[0][0]):
+            for column, lines in placed:
+                widths[column] = max(widths.get(column, 0), *map(_width, lines))
+    columns = sorted(column for column, width in widths.items() if width)
+    found = []
+    for placed in grid:
+        if not any(any(lines) for _, lines in placed):
+            continue
+        if len(placed) == 1 and not placed[0][0]:
+            found += placed[0][1]
+            continue
+        cells = dict(placed)
+        for k in range(max(len(lines) for lines in cells.values())):
+            line = []
+            for column in columns:
+                text = cells[column][k] if column in cells and k < len(cells[column]) else ""
+                line.append(text + " " * (widths[column] - _width(text)))
+            found.append("  ".join(line).rstrip())
+    return found
+
+
+def render_page(root: Node) -> str:
+    """All visible text of a page in reading order. Inner tables are laid out before outer ones."""
+    tables: dict[int, list[str]] = {}
+    for table in reversed(prune(root)):
+        tables[id(table)] = _table(table, tables)
+    return render(root, tables)
+
+
+def render(root: Node, tables: dict[int, list[str]]) -> str:
+    """The text below ``root``, whose tables' lines are in ``tables`` already."""
     page = Page()
     # (node, indent, list counter or None, inside pre); a string stands for what follows a block.
     work: list[tuple] = [(child, "", None, False) for child in reversed(root.children)]
@@ -248,8 +338,6 @@ def render(root: Node, depth: int = 0) -> str:
                 if line.strip():
                     page.write(line, indent)
             continue
-        if not _visible(node):
-            continue
         name = node.name
         if name == "br":
             page.new_line()
@@ -259,11 +347,14 @@ def render(root: Node, depth: int = 0) -> str:
             if shown and node.attributes.get("value"):
                 page.inline(node.attributes["value"], indent)
             continue
-        if name == "table" and depth < NESTED_TABLES:
+        if name == "table":
             page.break_line(2)
-            for line in _table(node, depth + 1):
-                page.write(line, indent)
-                page.break_line(1)
+            for line in tables.pop(id(node)):
+                if line:
+                    page.write(line, indent)
+                    page.break_line(1)
+                else:
+                    page.break_line(2)
             page.break_line(2)
             continue
         breaks = 2 if name in SPACED else 1 if name in BLOCK else 0
@@ -296,7 +387,7 @@ def render(root: Node, depth: int = 0) -> str:
 
 
 def visible_text(page: str | None) -> str | None:
-    return None if page is None else render(parse(page))
+    return None if page is None else render_page(parse(page))
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", page: str = "html") -> DataFrame:
@@ -304,7 +395,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", page: str = "html")
 
     Text is all that a reader sees, whole: hidden elements, scripts, comments and attributes are left
     out; blocks stand on lines of their own, paragraphs apart, list items carry a dash or their number,
-    table cells are aligned. A null page gives null and no lines, an empty or broken one the text that
+    table cells stand side by side with their own blocks and lists. A null page gives null and no lines, an empty or broken one the text that
     can be read. Null ids and repeated rows stay; an empty table gives none. One pass, no shuffle.
     """
 
