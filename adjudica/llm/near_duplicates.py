@@ -317,6 +317,23 @@ def _between_groups(rows: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """``docs`` with one row of each group, one with the smallest id.
+
+    Of the rows that repeat that id, the one whose text has the smallest checksum stays. Rows without
+    an id are linked with nothing: of those with equal texts one stays, without words all.
+    """
+    found = near_duplicates(docs).where("kept and doc_id is not null")
+    found = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    once = found.where("n = 1").select(F.col("doc_id").alias("kept_id"))
+    # A table of its own, so that its size is known where the join is planned.
+    often = materialize(found.where("n > 1").select(F.col("doc_id").alias("kept_id")), "repeated-ids")
+    unnamed = docs.where("doc_id is null")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.md5("text")).alias("row")
+    repeated = docs.join(often, docs["doc_id"] == often["kept_id"], "left_semi")
+    return (
+        docs.join(once, docs["doc_id"] == once["kept_id"], "left_semi")
+        .union(repeated.groupBy("doc_id").agg(first).select("row.*"))
+        .union(unnamed.where(wordless))
+        .union(unnamed.where(~wordless).groupBy(F.md5("text")).agg(first).select("row.*"))
+    )
