@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 import struct
 from collections.abc import Iterator
 
@@ -68,6 +69,18 @@ class WordTable:
             values.append(value)
         return self.total(values)
 
+    def _of_piece(self, piece: str):
+        """A piece that is in no table: letters behind a space are one word, marks after them another."""
+        if piece.isalpha():
+            return self.value(" " + piece)
+        letters = piece.rstrip(string.punctuation)
+        if not letters.isalpha():
+            return self._of_words(self.find(" " + piece))
+        value = self.pieces.get(letters) or self.older_pieces.get(letters)
+        if value is None:
+            value = self.value(" " + letters)
+        return self.total([value, self._of_words([piece[len(letters) :]])])
+
     def of_text(self, text: str):
         if self.cut and any(s in text for s in self.special):
             return self.total(
@@ -91,9 +104,7 @@ class WordTable:
                         self.pieces, self.older_pieces = {}, self.pieces
                     value = self.older_pieces.get(piece)
                     if value is None:
-                        # Letters behind a space are one word, which this table alone need keep.
-                        whole = piece.isalpha()
-                        value = self.value(" " + piece) if whole else self._of_words(self.find(" " + piece))
+                        value = self._of_piece(piece)
                     values[k] = self.pieces[piece] = value
         return self.total([self._of_words(self.find(first)), *values])
 
@@ -116,7 +127,11 @@ class IdTable(WordTable):
         super().__init__(sorted(self.added))
 
     def value(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.to_alphabet))
+        if word[0] == " " and word.isascii() and word[1:].isalpha():
+            shown = _ALPHABET[32] + word[1:]
+        else:
+            shown = word.encode().decode("latin-1").translate(self.to_alphabet)
+        tokens = self.model.tokenize(shown)
         return b"".join([self.packed[token.id] for token in tokens])
 
     def special_value(self, text: str) -> bytes:

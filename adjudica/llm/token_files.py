@@ -142,7 +142,7 @@ def write_token_files(
 
     schema = "doc_id long, tie long, width int, ids binary, counts binary"
     path = new_path(spark, "token-ids")
-    _write(map_batches(id_and_text(docs), encode, schema), path)
+    _write(map_batches(id_and_text(docs), encode, schema), path, compression="zstd")
     encoded = spark.read.schema(schema).parquet(path)
     by_rank = _ranked_counts(encoded.where("counts is not null").select("counts"))
     spark.createDataFrame(
