@@ -29,8 +29,8 @@ def byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = byte_alphabet()
-#: Pieces and words in a table; with the older ones about 90 and 30 MB.
-MOST_PIECES, MOST_WORDS = 200_000, 75_000
+#: Pieces and words in a table; with the older ones about 200 and 30 MB.
+MOST_PIECES, MOST_WORDS = 500_000, 75_000
 
 
 class WordTable:
