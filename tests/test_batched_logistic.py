@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adjudica.functions.subsets import added_moments, cell_moments, subset_medians
-from adjudica.operators import rankings, tuning, validation
+from adjudica.operators import batched_logistic, rankings, tuning, validation
 from adjudica.operators.batched_logistic import Fit, fit_batch
 from adjudica.operators.classifiers import score_rows
 from adjudica.spec import ENGINEERED
@@ -113,3 +113,43 @@ def test_embedding_verdict_follows_the_one_standard_error_rule(engineered):
     assert coded["features"] == "engineered + autoencoder(2)"
     assert coded["difference"] == pytest.approx(coded["cv_pr_auc"] - base["cv_pr_auc"], abs=1e-12)
     assert (coded["verdict"] == "keep") == (coded["difference"] > base["std"] / 3**0.5)
+
+
+def _entries():
+    folds = [frozenset([k]) for k in range(3)]
+    fits = [Fit(PLAN.numeric, PLAN.categorical, folds[0] | folds[1], s) for s in (1e-2, 1.0)] + [Fit((), ("Education",), folds[2])]
+    asked = [(n, cells, (n, k)) for n in range(3) for k, cells in enumerate([*folds, folds[0] | folds[2], frozenset([9])])]
+    return fits, asked
+
+
+def test_packed_ranks_equal_those_of_scored_rows(engineered, monkeypatch):
+    """Many buckets, scores that repeat much, and several rounds of held scores change no result."""
+    fits, asked = _entries()
+    batch = fit_batch(engineered, TARGET, "fold", fits)
+    scored = batch.score(engineered, asked, labels="a int, b int")
+    plain = {r[:2]: r[2:] for r in validation.ranking_metrics(scored, keys=["a", "b"]).collect()}
+    counts = {r[:2]: r[2] for r in scored.groupBy("a", "b").count().collect()}
+    for ranked_at_once, held in ((250_000, 4_000_000), (7, 50)):
+        monkeypatch.setattr(batched_logistic, "RANKED_SCORES", ranked_at_once)
+        monkeypatch.setattr(batched_logistic, "HELD_SCORES", held)
+        packed = batch.ranked(engineered, asked, "a int, b int").collect()
+        assert {r[:2] for r in packed} == plain.keys() and len(packed) == 12
+        for r in packed:
+            assert r["rows"] == counts[r[:2]] and r[3:] == pytest.approx(plain[r[:2]], abs=1e-12)
+
+
+def test_packed_ranks_of_one_class(spark):
+    frame = spark.createDataFrame([(0.0, 0, 0), (1.0, 1, 0), (2.0, 1, 1), (3.0, 1, 1), (4.0, 0, 2), (4.0, None, 2)], "x double, y int, cell int")
+    batch = fit_batch(frame, "y", "cell", [Fit(("x",), (), frozenset([0]))])
+    asked = [(0, frozenset([k]), (k,)) for k in range(3)]
+    got = {r[0]: r[1:] for r in batch.ranked(frame, asked, "k int").collect()}
+    assert got == {0: (2, 1.0, 1.0), 1: (2, 1.0, None), 2: (1, None, None)}
+
+
+def test_a_start_on_few_rows_ends_at_the_same_optimum(engineered, monkeypatch):
+    fits, _ = _entries()
+    whole = fit_batch(engineered, TARGET, "fold", fits)
+    monkeypatch.setattr(batched_logistic, "START_ROWS", engineered.count() // 5)
+    begun = fit_batch(engineered, TARGET, "fold", fits)
+    assert begun.scans < whole.scans and np.nanmax(begun.gradients) < 1e-6
+    assert np.abs(begun.coefficients - whole.coefficients).max() < 1e-6
