@@ -4,6 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from adjudica.operators import detectors, preprocess, rankings, tree_contributions, tuning, validation
+from adjudica.operators import autoencoder
 from adjudica.operators.autoencoder import Autoencoder
 from adjudica.operators.classifiers import ModelKind, UnknownModelError, get_model, score_rows
 from adjudica.operators.metrics import score_report
@@ -347,3 +348,28 @@ def test_queries_of_models_ask_for_the_whole_job(spark, small, monkeypatch):
     assert options is None or options.folds == KNOBS.folds
     assert model_queries.BOOSTED.params is None
     assert tuple(model_queries.ONE_HOT) == ENGINEERED.categorical
+
+
+def test_network_sums_in_blocks_equal_those_of_single_rows(spark, monkeypatch):
+    """Packed blocks, several tasks and short parts give the sums of the rows, and the gradient is that of the loss."""
+    source = np.random.default_rng(5)
+    x = source.normal(size=(700, 3))
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(3)
+    monkeypatch.setattr(autoencoder, "PART_ROWS", 64)
+    shapes = autoencoder._shapes(3, 4, 2)
+    flat = source.normal(size=sum(r * c + c for r, c in shapes))
+    blocks = autoencoder._packed(frame)
+    assert blocks.count() < 700
+    sums = autoencoder._summed(blocks, flat, shapes)
+
+    def loss(at):
+        h = x
+        for i, (weights, bias) in enumerate(autoencoder._unpack(at, shapes)):
+            h = h @ weights + bias
+            h = h if i == 3 else np.maximum(h, 0.0)
+        return ((h - x) ** 2).mean(axis=1).sum()
+
+    assert sums[:2] == pytest.approx([loss(flat), 700])
+    steps = np.eye(flat.size) * 1e-6
+    slopes = [(loss(flat + s) - loss(flat - s)) / 2e-6 for s in steps]
+    assert sums[2:] == pytest.approx(slopes, rel=1e-4, abs=1e-4)
