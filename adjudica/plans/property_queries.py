@@ -165,7 +165,8 @@ def stream_properties(spark, folder):
 )
 def lens_summary(spark, folder):
     """All five lenses side by side; a detector flags its share of the rows, one row more or less per tie."""
-    flags = materialize(detectors.all_flags(fixtures.repaired(spark, folder), APPLICANTS), "lenses")
+    frame = materialize(fixtures.repaired(spark, folder))
+    flags = materialize(detectors.all_flags(frame, APPLICANTS), "lenses")
     summary = outliers.flag_summary(flags, detectors.LENSES, TARGET)
     detector = F.col("method").isin(*detectors.DETECTORS)
     share = F.col("share_pct").between(0, 100) & (~detector | (F.abs(F.col("share_pct") - 100 * KNOBS.contamination) < 0.1))
@@ -179,7 +180,8 @@ SELECT a.method AS "left", b.method AS "right", CASE WHEN a.method = b.method TH
 )
 def lens_overlap(spark, folder):
     """The overlaps of all lenses: one with itself, symmetric, never above one."""
-    flags = materialize(detectors.all_flags(fixtures.repaired(spark, folder), APPLICANTS), "lenses")
+    frame = materialize(fixtures.repaired(spark, folder))
+    flags = materialize(detectors.all_flags(frame, APPLICANTS), "lenses")
     found = materialize(outliers.flag_jaccard(flags, detectors.LENSES), "overlaps")
     turned = found.select(F.col("left").alias("right"), F.col("right").alias("left"), F.col("jaccard").alias("other"))
     fine = F.col("jaccard").between(0, 1) & (F.col("jaccard") == F.col("other"))

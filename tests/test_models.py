@@ -373,3 +373,50 @@ def test_network_sums_in_blocks_equal_those_of_single_rows(spark, monkeypatch):
     steps = np.eye(flat.size) * 1e-6
     slopes = [(loss(flat + s) - loss(flat - s)) / 2e-6 for s in steps]
     assert sums[2:] == pytest.approx(slopes, rel=1e-4, abs=1e-4)
+
+
+def test_boundary_of_a_larger_table_starts_from_a_part_and_uses_all_rows(spark, monkeypatch):
+    """The solver gets a part alone, and the scores rank the rows as those of the solver over all rows do."""
+    from adjudica.session import materialize
+
+    rows = materialize(
+        spark.range(6000).select(
+            "id", F.array(F.randn(1), F.randn(2) * 2, (F.randn(3) > 1).cast("double")).alias("x")
+        )
+    )
+    taken, solver = [], detectors.LinearSVC
+
+    class Counted(solver):
+        def fit(self, dataset, params=None):
+            taken.append(dataset.count())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(detectors, "LinearSVC", Counted)
+    monkeypatch.setattr(detectors, "START_ROWS", 1500)
+    scores = []
+    for limit in (200_000, 3000):
+        monkeypatch.setattr(detectors, "WHOLE_ROWS", limit)
+        found = rows.select("id", detectors.one_class_score(rows).alias("s")).orderBy("id").collect()
+        scores.append([r["s"] for r in found])
+    assert taken[0] == 12_000 and 0 < taken[1] < 5_000
+    assert np.corrcoef(scores)[0, 1] > 0.97
+
+
+def test_newton_steps_reach_the_lowest_hinge_loss(spark, monkeypatch):
+    """From a poor start: a loss that no random step near the end lowers."""
+    monkeypatch.setattr(detectors, "MOST_SCANS", 12)
+    random = np.random.default_rng(5)
+    x = random.normal(size=(3000, 2))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    directions = random.normal(size=(2, detectors.COMPONENTS))
+    shifts = random.uniform(0.0, 6.28, detectors.COMPONENTS)
+    z = detectors._lifted(x, directions, shifts)
+    assert np.allclose(z, np.sqrt(2 / detectors.COMPONENTS) * np.cos(x @ directions + shifts), atol=1e-12)
+    center = z.mean(axis=0)
+    loss = lambda w: np.maximum(1.0 - z @ w, 0.0).mean() + 0.01 / 2.0 * (w @ w)
+    start = center / (center @ center)
+    end, scans = detectors._boundary(detectors._packed(rows), 3000, start, 0.3, 0.01, directions, shifts)
+    assert scans > 1 and loss(end) < loss(start)
+    for size in (1e-1, 1e-2):
+        for _ in range(200):
+            assert loss(end + size * random.normal(size=len(end)) / len(end) ** 0.5) > loss(end) - 1e-4 * loss(end)
