@@ -284,15 +284,16 @@ def one_class_score(
                 continue
             yield pd.Series(list(_lifted(np.stack(batch.to_numpy()).astype(float), directions, shifts)))
 
-    # The squared norm of the mean feature vector estimates the margin that turns ν into a penalty.
-    blocks = _packed(encoded)
-    center = _task_sums(blocks, width, lambda x: _lifted(x, directions, shifts).sum(axis=0)[None])[0] / rows
-    penalty = max(nu * float(center @ center), 1e-6)
     whole = rows <= WHOLE_ROWS
-    fitted = encoded.select("x")
-    if not whole:
-        fitted = materialize(fitted.sample(START_ROWS / rows, seed=0), "start")
+    fitted = encoded.select("x") if whole else materialize(encoded.select("x").sample(START_ROWS / rows, seed=0), "start")
     lifted = fitted.select(F.pandas_udf(cosines, "array<double>")("x").alias("z"))
+    # The squared norm of the mean feature vector estimates the margin that turns ν into a penalty.
+    if whole:
+        center = lifted.select(Summarizer.mean(array_to_vector("z"))).first()[0].toArray()
+    else:
+        blocks = _packed(encoded)
+        center = _task_sums(blocks, width, lambda x: _lifted(x, directions, shifts).sum(axis=0)[None])[0] / rows
+    penalty = max(nu * float(center @ center), 1e-6)
     mirror = F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("z").alias("z")),
         F.struct(F.lit(0.0).alias("label"), F.transform("z", lambda v: -v).alias("z")),
