@@ -154,3 +154,21 @@ def test_a_start_on_few_rows_ends_at_the_same_optimum(engineered, monkeypatch):
     # The part depends on how the files are read, so the scans it saves vary.
     assert begun.scans <= whole.scans + 1 and np.nanmax(begun.gradients) < 1e-6
     assert np.abs(begun.coefficients - whole.coefficients).max() < 1e-4
+
+
+def test_a_calibrated_batch_scores_like_pipelines_of_their_own(engineered, monkeypatch):
+    """Also rows with null, NaN and unseen inputs; no pipeline is fitted above the limit of rows."""
+    exact = validation.ModelPlan(PLAN.target, PLAN.numeric, PLAN.categorical, PLAN.name, {"C": 0.3, "tol": 1e-12})
+    ours = validation.ModelPlan(PLAN.target, PLAN.numeric, PLAN.categorical, PLAN.name, {"C": 0.3})
+    left = validation.calibrate(engineered, exact, 3)
+    monkeypatch.setattr(validation, "APART_ROWS", 10)
+    monkeypatch.setattr(validation, "score_rows", None)
+    right = validation.calibrate(engineered, ours, 3)
+    odd = engineered.withColumn("Education", F.when(F.col("applicant_id") % 3 == 0, "unseen").otherwise(F.col("Education")))
+    odd = odd.withColumn("Income", F.when(F.col("applicant_id") % 5 != 0, F.col("Income"))).drop("fold", TARGET)
+    monkeypatch.undo()
+    a, b = ({r[0]: r[1] for r in m.score(odd).select("applicant_id", "p").collect()} for m in (left, right))
+    assert a.keys() == b.keys() and len(a) == engineered.count()
+    assert np.mean([abs(a[k] - b[k]) for k in a]) < 1e-4
+    nan = right.score(odd.where("Income IS NULL").withColumn("Income", F.lit(float("nan")))).select("applicant_id", "p")
+    assert all(abs(b[k] - p) < 1e-12 for k, p in nan.collect())
