@@ -157,7 +157,7 @@ class FittedBatch:
         balance the work. A score and its class are one whole number, and a row of the shuffle holds
         the numbers of a task between two points. What lies above a bucket is known from the buckets' counts.
         """
-        design, held, spark = self.design, HELD_SCORES, frame.sparkSession
+        design = self.design
         present = frame.where(F.col(design.target).isNotNull())
         together: dict[Subset, list[int]] = {}
         for entry, (_, scored, _) in enumerate(asked):
@@ -170,63 +170,14 @@ class FittedBatch:
                 at = np.flatnonzero(np.isin(cells, list(scored)))
                 if len(at):
                     p = self.probabilities(matrix[at], [asked[e][0] for e in entries])
-                    # A score that is no number comes first, as in the order of a column.
-                    whole = np.rint(np.where(np.isnan(p), 2.0, p) * 10.0**PLACES).astype(np.int64)
-                    whole = whole * 2 + (y[at] > 0)[:, None]
-                    yield from zip(entries, np.ascontiguousarray(whole.T))
+                    yield from zip(entries, np.ascontiguousarray(whole_numbers(p, y[at][:, None]).T))
 
-        cuts = [np.zeros(0, np.int64)] * len(asked)
+        cuts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(asked)
         if self.rows > RANKED_SCORES:
             share = min(1.0, CUT_ROWS / self.rows)
-            few: dict[int, list[np.ndarray]] = {}
-            for batch in design.read(present.sample(share, seed=0)).toArrow().to_batches():
-                for entry, whole in packed(batch):
-                    few.setdefault(entry, []).append(whole)
-            for entry, parts in few.items():
-                scores = np.sort(np.concatenate(parts)) >> 1
-                buckets = int(np.ceil(len(scores) / share / RANKED_SCORES))
-                cuts[entry] = np.unique(scores[len(scores) * np.arange(1, buckets) // buckets]) << 1
-
-        def work(batches):
-            waiting: dict[int, list[np.ndarray]] = {}
-            size = 0
-            for batch in batches:
-                for entry, whole in packed(batch):
-                    waiting.setdefault(entry, []).append(whole)
-                    size += len(whole)
-                if size >= held:
-                    yield from _cut(waiting, cuts)
-                    waiting, size = {}, 0
-            yield from _cut(waiting, cuts)
-
-        stored = materialize(design.read(present).mapInArrow(work, PACKED), "ranks")
-        sums = stored.groupBy("entry", "bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-        ahead: dict[tuple[int, int], tuple[int, int]] = {}
-        whole_of: dict[int, tuple[int, int]] = {}
-        for r in sorted(sums.collect(), key=lambda r: (r["entry"], -r["bucket"])):
-            ones, zeros = whole_of.get(r["entry"], (0, 0))
-            ahead[r["entry"], r["bucket"]] = ones, zeros
-            whole_of[r["entry"]] = ones + r["ones"], zeros + r["zeros"]
-
-        def rank(key, table):
-            entry, bucket = (k.as_py() for k in key)
-            gained, lost = _rank(table, *ahead[entry, bucket])
-            return pa.table({"entry": pa.array([entry], pa.int32()), "gained": [gained], "lost": [lost]})
-
-        parts = stored.select("entry", "bucket", "numbers", "counts").groupBy("entry", "bucket")
-        added = parts.applyInArrow(rank, "entry int, gained double, lost double").groupBy("entry").agg(
-            F.sum("gained").alias("gained"), F.sum("lost").alias("lost")
-        )
-        names = [piece.strip().split()[0] for piece in labels.split(",")]
-        of_entry = [(e, *asked[e][2], *whole_of[e]) for e in whole_of]
-        known = spark.createDataFrame(of_entry, f"entry int, {labels}, ones long, zeros long")
-        pairs = F.col("ones").cast("double") * F.col("zeros")
-        return added.join(F.broadcast(known), "entry").select(
-            *names,
-            (F.col("ones") + F.col("zeros")).alias("rows"),
-            F.try_divide("gained", F.col("ones").cast("double")).alias("average_precision"),
-            F.try_divide("lost", pairs).alias("roc_auc"),
-        )
+            few = design.read(present.sample(share, seed=0)).toArrow().to_batches()
+            cuts = cuts_of((part for batch in few for part in packed(batch)), len(asked), share)
+        return ranked_scores(pack(design.read(present), packed, cuts), [values for _, _, values in asked], labels)
 
     def score(self, frame: DataFrame, asked: Sequence[tuple[int, Subset, tuple]], keep: Sequence[str] = (), labels: str = "") -> DataFrame:
         """(kept columns, labels, y, p): each row of ``frame`` once per entry of ``asked`` whose cells hold it.
@@ -271,6 +222,75 @@ class FittedBatch:
 PACKED = "entry int, bucket int, ones long, zeros long, numbers binary, counts binary"
 
 
+def whole_numbers(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Scores and their classes as whole numbers in the order of the scores."""
+    # A score that is no number comes first, as in the order of a column.
+    return np.rint(np.where(np.isnan(p), 2.0, p) * 10.0**PLACES).astype(np.int64) * 2 + (y > 0)
+
+
+def cuts_of(parts, entries: int, share: float) -> list[np.ndarray]:
+    """Where each entry's numbers are cut, from those of about this share of the rows."""
+    cuts, few = [np.zeros(0, np.int64)] * entries, {}
+    for entry, whole in parts:
+        few.setdefault(entry, []).append(whole)
+    for entry, found in few.items():
+        scores = np.sort(np.concatenate(found)) >> 1
+        buckets = int(np.ceil(len(scores) / share / RANKED_SCORES))
+        cuts[entry] = np.unique(scores[len(scores) * np.arange(1, buckets) // buckets]) << 1
+    return cuts
+
+
+def pack(rows: DataFrame, packed, cuts: Sequence[np.ndarray]) -> DataFrame:
+    """The numbers that ``packed`` gives for the batches of ``rows``, sorted and cut in each task."""
+    held = HELD_SCORES
+
+    def work(batches):
+        waiting: dict[int, list[np.ndarray]] = {}
+        size = 0
+        for batch in batches:
+            for entry, whole in packed(batch):
+                waiting.setdefault(entry, []).append(whole)
+                size += len(whole)
+                if size >= held:
+                    yield from _cut(waiting, cuts)
+                    waiting, size = {}, 0
+        yield from _cut(waiting, cuts)
+
+    return rows.mapInArrow(work, PACKED)
+
+
+def ranked_scores(numbers: DataFrame, labelled: Sequence[tuple], labels: str) -> DataFrame:
+    """(labels, rows, average_precision, roc_auc) of each entry of packed numbers."""
+    spark, stored = numbers.sparkSession, materialize(numbers, "ranks")
+    sums = stored.groupBy("entry", "bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    ahead: dict[tuple[int, int], tuple[int, int]] = {}
+    whole_of: dict[int, tuple[int, int]] = {}
+    for r in sorted(sums.collect(), key=lambda r: (r["entry"], -r["bucket"])):
+        ones, zeros = whole_of.get(r["entry"], (0, 0))
+        ahead[r["entry"], r["bucket"]] = ones, zeros
+        whole_of[r["entry"]] = ones + r["ones"], zeros + r["zeros"]
+
+    def rank(key, table):
+        entry, bucket = (k.as_py() for k in key)
+        gained, lost = _rank(table, *ahead[entry, bucket])
+        return pa.table({"entry": pa.array([entry], pa.int32()), "gained": [gained], "lost": [lost]})
+
+    parts = stored.select("entry", "bucket", "numbers", "counts").groupBy("entry", "bucket")
+    added = parts.applyInArrow(rank, "entry int, gained double, lost double").groupBy("entry").agg(
+        F.sum("gained").alias("gained"), F.sum("lost").alias("lost")
+    )
+    names = [piece.strip().split()[0] for piece in labels.split(",")]
+    of_entry = [(e, *labelled[e], *whole_of[e]) for e in whole_of]
+    known = spark.createDataFrame(of_entry, f"entry int, {labels}, ones long, zeros long")
+    pairs = F.col("ones").cast("double") * F.col("zeros")
+    return added.join(F.broadcast(known), "entry").select(
+        *names,
+        (F.col("ones") + F.col("zeros")).alias("rows"),
+        F.try_divide("gained", F.col("ones").cast("double")).alias("average_precision"),
+        F.try_divide("lost", pairs).alias("roc_auc"),
+    )
+
+
 def _cut(waiting: dict[int, list[np.ndarray]], cuts: Sequence[np.ndarray]):
     """Each entry's numbers sorted and cut into buckets; numbers that repeat much are counted."""
     for entry, parts in waiting.items():

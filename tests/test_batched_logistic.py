@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adjudica.functions.subsets import added_moments, cell_moments, subset_medians
-from adjudica.operators import batched_logistic, rankings, tuning, validation
+from adjudica.operators import batched_logistic, batched_permutation, rankings, tuning, validation
 from adjudica.operators.batched_logistic import Fit, fit_batch
 from adjudica.operators.classifiers import score_rows
 from adjudica.spec import ENGINEERED
@@ -172,3 +172,20 @@ def test_a_calibrated_batch_scores_like_pipelines_of_their_own(engineered, monke
     assert np.mean([abs(a[k] - b[k]) for k in a]) < 1e-4
     nan = right.score(odd.where("Income IS NULL").withColumn("Income", F.lit(float("nan")))).select("applicant_id", "p")
     assert all(abs(b[k] - p) < 1e-12 for k, p in nan.collect())
+
+
+def test_shuffled_columns_rank_like_copies_of_the_rows(spark, engineered, monkeypatch):
+    """The same shifts of the same order; no copy is made above the limit of rows."""
+    columns = [*PLAN.numeric, *PLAN.categorical]
+    frame = engineered.withColumn(TARGET, F.when(F.col("applicant_id") % 11 != 0, F.col(TARGET)))
+    left = rankings.permutation_ranking(frame, ENGINEERED, columns, "logistic_regression", {"C": 0.3, "tol": 1e-12}, 3)
+    left = {r["feature"]: r["permutation"] for r in left.collect()}
+    monkeypatch.setattr(rankings, "COPIED_ROWS", 10)
+    monkeypatch.setattr(rankings, "shuffled_copies", None)
+    for ranked in (batched_logistic.RANKED_SCORES, 40):
+        monkeypatch.setattr(batched_logistic, "RANKED_SCORES", ranked)
+        monkeypatch.setattr(batched_permutation, "RANKED_SCORES", ranked)
+        right = rankings.permutation_ranking(frame, ENGINEERED, columns, "logistic_regression", {"C": 0.3}, 3)
+        right = {r["feature"]: r["permutation"] for r in right.collect()}
+        assert left.keys() == right.keys() == set(columns)
+        assert all(abs(left[c] - right[c]) < 1e-6 for c in columns)
