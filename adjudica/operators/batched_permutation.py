@@ -13,18 +13,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adjudica.operators.batched_logistic import (
     CUT_ROWS,
     RANKED_SCORES,
-    FittedBatch,
     cuts_of,
     pack,
     ranked_scores,
     whole_numbers,
 )
+from adjudica.operators.preprocess import encoded_names
 from adjudica.session import materialize
 
 #: Rows of a bucket on average at most, and rows whose scores are held at a time.
@@ -32,30 +34,37 @@ BUCKET_ROWS, BLOCK_ROWS = 50_000, 8192
 
 
 def permuted_ranks(
-    batch: FittedBatch, frame: DataFrame, key: str, columns: Sequence[str], repeats: int, seed: int, buckets: int
+    model: PipelineModel, frame: DataFrame, key: str, target: str, columns: Sequence[str], repeats: int, seed: int, buckets: int
 ) -> DataFrame:
-    """(feature, repeat, rows, average_precision, roc_auc) of the batch's first fit for every shuffled column.
+    """(feature, repeat, rows, average_precision, roc_auc) of a fitted regression for every shuffled column.
 
     Feature null is the table as it is. Rows without a target are taken from, but not scored.
     """
-    design, columns = batch.design, list(columns)
+    columns = list(columns)
     order = F.xxhash64(F.col(key), F.lit(seed))
     buckets = max(buckets, math.ceil(frame.count() / BUCKET_ROWS))
-    drawn = frame.withColumns({"_u": order, "_bucket": F.pmod(order, F.lit(buckets))})
-    used = [_slots(batch, c) for c in columns]
-    weights = batch.coefficients[0]
+    wanted = model.transform(frame).select(
+        F.pmod(order, F.lit(buckets)).alias("bucket"),
+        order.alias("u"),
+        F.col(key).alias("key"),
+        F.col(target).cast("double").alias("y"),
+        vector_to_array("features").alias("x"),
+    )
+    # The weight of each slot, in the column of its source.
+    weights = np.zeros((model.stages[-1].coefficients.size, len(columns)))
+    for i, ((_, source), weight) in enumerate(zip(encoded_names(model), model.stages[-1].coefficients.toArray())):
+        weights[i, columns.index(source)] = weight
+    constant = float(model.stages[-1].intercept)
 
     def parts(batches):
         for rows in batches:
-            matrix = design.matrix(rows)
-            each = np.stack([matrix[:, at] @ weights[at] for at in used], axis=1)
-            values = pa.array([row.tobytes() for row in each], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [rows["k0"], rows["k1"], rows["k2"], rows["y"], values], ["bucket", "u", "key", "y", "parts"]
-            )
+            if rows.num_rows:
+                x = rows["x"].flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+                values = pa.array([row.tobytes() for row in x @ weights], pa.binary())
+                kept = [rows[c] for c in ("bucket", "u", "key", "y")]
+                yield pa.RecordBatch.from_arrays([*kept, values], ["bucket", "u", "key", "y", "parts"])
 
     kind = dict(frame.dtypes)[key]
-    wanted = design.read(drawn, "_bucket", "_u", key)
     summed = wanted.mapInArrow(parts, f"bucket long, u long, key {kind}, y double, parts binary")
 
     def in_order(bucket, table):
@@ -75,7 +84,6 @@ def permuted_ranks(
     width = len(columns)
     heads = {r["bucket"]: np.frombuffer(r["head"]).reshape(-1, width) for r in stored.select("bucket", "head").collect()}
     behind = _behind(heads, repeats)
-    constant, share_of_ones = weights[0], batch.constants[0]
 
     def packed(rows):
         for bucket, y, data in zip(*(rows[c].to_pylist() for c in ("bucket", "y", "parts"))):
@@ -88,11 +96,11 @@ def permuted_ranks(
                 mine = own[at]
                 below = np.concatenate([np.full((len(at), 1), constant), constant + np.cumsum(mine, axis=1)], axis=1)
                 above = np.concatenate([np.cumsum(mine[:, ::-1], axis=1)[:, ::-1], np.zeros((len(at), 1))], axis=1)
-                yield 0, _numbers(below[:, -1], target[at], share_of_ones)
+                yield 0, _numbers(below[:, -1], target[at])
                 for c in range(width):
                     for r in range(repeats):
                         eta = below[:, c] + whole[at + r + 1, c] + above[:, c + 1]
-                        yield 1 + c * repeats + r, _numbers(eta, target[at], share_of_ones)
+                        yield 1 + c * repeats + r, _numbers(eta, target[at])
 
     labelled = [(None, 0), *((c, r) for c in columns for r in range(repeats))]
     cuts = [np.zeros(0, np.int64)] * len(labelled)
@@ -107,19 +115,8 @@ def permuted_ranks(
     return ranked_scores(pack(stored.select("bucket", "y", "parts"), packed, cuts), labelled, "feature string, repeat int")
 
 
-def _slots(batch: FittedBatch, column: str) -> np.ndarray:
-    """Places of a source column in the shared matrix."""
-    design = batch.design
-    if column in design.numeric:
-        k = design.numeric.index(column)
-        return np.array([1 + k, 1 + len(design.numeric) + k])
-    k = design.categorical.index(column)
-    return design.first_level(k) + np.arange(len(design.levels[k]))
-
-
-def _numbers(eta: np.ndarray, y: np.ndarray, constant: float | None) -> np.ndarray:
-    p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700))) if constant is None else np.full(len(eta), constant)
-    return whole_numbers(p, y)
+def _numbers(eta: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return whole_numbers(1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700))), y)
 
 
 def _behind(heads: dict[int, np.ndarray], repeats: int) -> dict[int, np.ndarray]:

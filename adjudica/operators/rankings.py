@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.operators.association import binned_information
-from adjudica.operators.batched_logistic import Fit, fit_batch
 from adjudica.operators.batched_permutation import permuted_ranks
 from adjudica.operators.classifiers import DEFAULT_MODEL, fit_model, score_rows
 from adjudica.operators.metrics import ranking_metrics
 from adjudica.operators.preprocess import encoded_names
 from adjudica.operators.selection import one_standard_error, rank_consensus
 from adjudica.operators.splits import mark_holdout
-from adjudica.operators.validation import ModelPlan, cross_validate_all, in_one_batch
+from adjudica.operators.validation import ModelPlan, cross_validate_all
 from adjudica.session import materialize
 from adjudica.spec import KNOBS, TableSpec
 
@@ -87,18 +87,22 @@ def permutation_ranking(
 ) -> DataFrame:
     """Average precision lost when a column is shuffled, on rows the model has not seen.
 
-    The shuffled columns of a regression on a large table are scored from sums of parts; the model is the same
-    at its optimum.
+    The shuffled columns of a regression on a large table are scored from sums of parts, without copies of rows.
     """
     numeric, categorical = spec.split_types(columns)
     used = [*numeric, *categorical]
     marked = mark_holdout(frame, spec, seed=seed)
-    plan = ModelPlan(spec.target, tuple(numeric), tuple(categorical), name, params)
-    if in_one_batch(plan) and frame.count() > COPIED_ROWS:
-        return _permuted_in_batch(marked, spec, plan, repeats, seed)
     model = fit_model(marked.where("not is_holdout"), spec.target, numeric, categorical, name, params)
     held = marked.where("is_holdout").select(spec.key, spec.target, *used)
-    buckets = _buckets(frame)
+    buckets = 4 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if isinstance(model.stages[-1], LogisticRegressionModel) and frame.count() > COPIED_ROWS:
+        found = permuted_ranks(model, held, spec.key, spec.target, used, repeats, seed, buckets)
+        # A row per column and repeat, and one for the table as it is.
+        found = materialize(found.select("feature", "average_precision"), "permuted")
+        first = found.where("feature is null").first()
+        plain = F.lit(first["average_precision"] if first else None).cast("double")
+        scores = found.where("feature is not null")
+        return scores.groupBy("feature").agg((plain - F.avg("average_precision")).alias("permutation"))
     copies = shuffled_copies(held, spec.key, used, repeats, seed, buckets)
     plain = ranking_metrics(score_rows(model, held), spec.target).first()["average_precision"]
     scores = ranking_metrics(score_rows(model, copies), spec.target, keys=["feature", "repeat"])
@@ -107,29 +111,6 @@ def permutation_ranking(
     )
 
 
-def _buckets(frame: DataFrame) -> int:
-    return 4 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def _permuted_in_batch(marked: DataFrame, spec: TableSpec, plan: ModelPlan, repeats: int, seed: int) -> DataFrame:
-    """``permutation_ranking`` of a regression without copies of rows."""
-    used = [*plan.numeric, *plan.categorical]
-    celled = marked.where("is_holdout is not null").withColumn("_cell", F.col("is_holdout").cast("int"))
-    stored = materialize(celled.select(spec.key, spec.target, "_cell", *used), "permuted")
-    strength = float((plan.params or {}).get("C", 1.0))
-    batch = fit_batch(stored, spec.target, "_cell", [Fit(plan.numeric, plan.categorical, frozenset([0]), strength)])
-    held = stored.where("_cell = 1")
-    found = permuted_ranks(batch, held, spec.key, used, repeats, seed, _buckets(marked))
-    # A row per column and repeat, and one for the table as it is.
-    rows = [(r["feature"], r["average_precision"]) for r in found.collect()]
-    schema = "feature string, average_precision double"
-    plain = next((value for feature, value in rows if feature is None), None)
-    table = marked.sparkSession.createDataFrame([r for r in rows if r[0] is not None], schema)
-    return table.groupBy("feature").agg(
-        (F.lit(plain).cast("double") - F.avg("average_precision")).alias("permutation")
-    )
-
-
 def rank_features(
     frame: DataFrame, spec: TableSpec, columns, name: str = DEFAULT_MODEL, params=None
 ) -> DataFrame:
