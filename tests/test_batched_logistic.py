@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from adjudica.functions.subsets import added_moments, cell_moments, subset_medians
-from adjudica.operators import batched_logistic, batched_permutation, rankings, tuning, validation
+from adjudica.operators import batched_logistic, batched_permutation, fold_networks, preprocess, rankings, tuning, validation
+from adjudica.operators.autoencoder import Autoencoder
 from adjudica.operators.batched_logistic import Fit, fit_batch
 from adjudica.operators.classifiers import score_rows
 from adjudica.operators.metrics import ranking_metrics
@@ -204,3 +205,25 @@ def test_every_row_is_scored_in_every_shuffle_also_without_a_key_of_its_own(engi
     plain = next(r for r in found if r["feature"] is None)
     scored = ranking_metrics(score_rows(model, held), TARGET).first()
     assert abs(plain["average_precision"] - scored["average_precision"]) < 1e-9
+
+
+def test_networks_of_all_folds_equal_single_ones(engineered, monkeypatch):
+    """One pass per step for all folds gives the weights of single networks, and the scores of single pipelines."""
+    inputs = ["Age", "Income", "CreditScore"]
+    subsets = [frozenset(range(3)) - {k} for k in range(3)]
+    passes = []
+    real = fold_networks._evaluate
+    monkeypatch.setattr(fold_networks, "_evaluate", lambda *a: passes.append(1) or real(*a))
+    together = fold_networks.train_networks(engineered, "fold", inputs, subsets, 2, steps=6)
+    assert len(passes) == 6 and together.steps_taken == (6, 6, 6)
+    for k, layers in enumerate(together.layers):
+        train = engineered.where(F.col("fold") != k)
+        scaled = preprocess.MedianScaler(inputs).fit(train).transform(train)
+        alone = Autoencoder([c + preprocess.SCALED for c in inputs], 2, steps=6).train(scaled)
+        for (w, b), (v, c) in zip(layers, alone):
+            assert np.allclose(w, v, atol=1e-9) and np.allclose(b, c, atol=1e-9)
+    plan = validation.ModelPlan(TARGET, tuple(inputs), ("Education",), "logistic_regression", bottleneck=2, network_steps=4)
+    apart = dict(validation.fold_scores(engineered, plan, 3).select("fold", "average_precision").collect())
+    monkeypatch.setattr(validation, "APART_ROWS", 0)
+    joined = dict(validation.fold_scores(engineered, plan, 3).select("fold", "average_precision").collect())
+    assert apart.keys() == joined.keys() and all(abs(apart[k] - joined[k]) < 5e-3 for k in apart)
