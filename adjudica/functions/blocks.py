@@ -13,13 +13,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from adjudica.session import new_path
 
 INDEX = "path string, start long, length long, rows int, cell int"
 #: Blocks that one task takes at most, where there are many.
-TASK_BLOCKS = 64
+TASK_BLOCKS = 128
 
 
 class Block(NamedTuple):
@@ -43,6 +44,13 @@ def read_bytes(uri: str, start: int, length: int) -> np.ndarray:
         return np.frombuffer(file.read_at(length, start), np.uint8)
 
 
+def write_bytes(uri: str, data: bytes) -> None:
+    system, path = pyarrow.fs.FileSystem.from_uri(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as file:
+        file.write(data)
+
+
 def store_blocks(rows: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple[int, int, bytes]]], label: str) -> list[Block]:
     """What ``cut`` makes of each task's batches, (cell, rows, bytes), written to a file per task; the list of all."""
     folder = new_path(rows.sparkSession, label)
@@ -50,7 +58,8 @@ def store_blocks(rows: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iter
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = pyarrow.fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        name, found, start = uuid.uuid4().hex, [], 0
+        # By partition, so that the order of the blocks is that of the rows.
+        name, found, start = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}", [], 0
         with system.open_output_stream(f"{base}/{name}", compression=None) as file:
             for cell, count, data in cut(batches):
                 file.write(data)
@@ -64,8 +73,10 @@ def store_blocks(rows: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iter
     return sorted(Block(*row) for row in rows.mapInArrow(work, INDEX).collect())
 
 
-def over_blocks(spark: SparkSession, blocks: list[Block], work: Callable[[Iterator[Block]], Iterable]) -> list:
-    """What ``work`` gives for the blocks of each task; several tasks per core, as the slowest decides the time of a pass."""
+def over_blocks(spark: SparkSession, blocks: list, work: Callable[[Iterator], Iterable]) -> list:
+    """What ``work`` gives for the blocks of each task: one per core, as a task costs more than to read a block, or a few."""
     context = spark.sparkContext
-    tasks = min(len(blocks), max(4 * context.defaultParallelism, len(blocks) // TASK_BLOCKS))
-    return context.parallelize(blocks, max(tasks, 1)).mapPartitions(work).collect()
+    cores = context.defaultParallelism
+    rounds = max(1, round(len(blocks) / (TASK_BLOCKS * cores)))
+    tasks = max(1, min(len(blocks), rounds * cores))
+    return context.parallelize(blocks, tasks).mapPartitions(work).collect()
