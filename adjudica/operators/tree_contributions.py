@@ -30,7 +30,7 @@ from adjudica.session import new_path, spread
 from adjudica.spec import KNOBS, READABLE_NAMES
 
 SMALL_PATH = 6  # paths this short tabulate all 2^d patterns once
-BLOCK_LEAVES, BLOCK_ROWS = 128, 2048  # worked on at a time
+BLOCK_LEAVES, BLOCK_ROWS = 256, 256  # worked on at a time, so that they stay in the cache
 
 
 @dataclass(frozen=True)
@@ -106,45 +106,56 @@ def _pattern_values(value: np.ndarray, share: np.ndarray, passed: np.ndarray) ->
 class PathTable:
     """Up to ``BLOCK_LEAVES`` leaves whose paths test equally many features, position by position.
 
-    ``features``, ``low``, ``high`` and ``share`` have a row per position and a column per leaf. For short paths
-    ``values`` holds each position's contribution for all 2^d patterns of passed tests of each leaf.
+    ``features``, ``share`` and ``tests`` have a row per position and a column per leaf; a test is a row of ``test_features``,
+    ``low`` and ``high``, which leaves share. For short paths ``values`` holds each position's contribution for all 2^d
+    patterns of passed tests of each leaf, together with those of its sibling, where that is reached by the opposite of one test.
     ``order`` sorts the leaves by a position's feature; a feature's run starts at ``starts``.
     """
 
     features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
     share: np.ndarray
     value: np.ndarray
+    tests: np.ndarray
+    test_features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     values: np.ndarray | None
     order: list[np.ndarray]
     starts: list[np.ndarray]
 
     @staticmethod
-    def of(leaves: list[Leaf]) -> PathTable:
+    def of(leaves: list[Leaf], siblings: list[tuple[Leaf, int] | None]) -> PathTable:
         features = np.stack([leaf.features for leaf in leaves], axis=1)
-        low, high, share = (
-            np.stack([getattr(leaf, name) for leaf in leaves], axis=1) for name in ("low", "high", "share")
-        )
+        share = np.stack([leaf.share for leaf in leaves], axis=1)
         value = np.array([leaf.value for leaf in leaves])
+        bounds = [np.stack([getattr(leaf, name) for leaf in leaves], axis=1) for name in ("low", "high")]
+        found, tests = np.unique(np.stack([features.ravel(), *(b.ravel() for b in bounds)]), axis=1, return_inverse=True)
         size, values = len(features), None
         if size <= SMALL_PATH:
-            patterns = ((np.arange(1 << size)[:, None] >> np.arange(size)) & 1).astype(float)
-            values = np.moveaxis(_pattern_values(value[:, None], share.T[:, None, :], patterns[None]), 2, 0)
+            values = _all_patterns(value, share)
+            both = [i for i, sibling in enumerate(siblings) if sibling]
+            if both:
+                pair = [siblings[i] for i in both]
+                other = _all_patterns(np.array([r.value for r, _ in pair]), np.stack([r.share for r, _ in pair], axis=1))
+                turned = np.arange(1 << size) ^ (1 << np.array([j for _, j in pair]))[:, None]
+                values[:, both] += np.take_along_axis(other, turned[None], axis=2)
             values = np.ascontiguousarray(values.reshape(size, -1))
         order = [np.argsort(f, kind="stable") for f in features]
         starts = [np.flatnonzero(np.diff(f[o], prepend=-1)) for f, o in zip(features, order)]
-        return PathTable(features, low, high, share, value, values, order, starts)
+        tests = tests.reshape(features.shape)
+        return PathTable(features, share, value, tests, found[0].astype(int), found[1], found[2], values, order, starts)
 
     def add_to(self, result: np.ndarray, x: np.ndarray) -> None:
         """Add the leaves' contributions; both arrays have a row per feature and a column per table row."""
         size, leaves = self.features.shape
-        code = np.zeros((leaves, x.shape[1]), dtype=np.int64)
-        for j in range(size):
-            part = x[self.features[j]]
-            code |= ((part > self.low[j][:, None]) & (part <= self.high[j][:, None])).astype(np.int64) << j
-        code += np.arange(leaves, dtype=np.int64)[:, None] << size
+        part = x[self.test_features]
+        passed = (part > self.low[:, None]) & (part <= self.high[:, None])
         values = self.values
+        passed = passed.astype(np.uint8 if values is not None else np.int64)
+        code = passed[self.tests[0]]
+        for j in range(1, size):
+            code |= passed[self.tests[j]] << j
+        code = code.astype(np.int64) + (np.arange(leaves, dtype=np.int64)[:, None] << size)
         if values is None:
             # Too many patterns to list: only those that occur are worked out.
             found, place = np.unique(code, return_inverse=True)
@@ -153,22 +164,57 @@ class PathTable:
             leaf = found >> size
             values = _pattern_values(self.value[leaf], self.share.T[leaf], bits).T
         for j in range(size):
-            parts = values[j][code][self.order[j]]
+            parts = values[j].take(code.take(self.order[j], axis=0))
             sums = np.add.reduceat(parts, self.starts[j], axis=0)
             result[self.features[j][self.order[j]][self.starts[j]]] += sums
 
 
+def _all_patterns(value: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Contributions by position, leaf and pattern of passed tests; ``share`` has a row per position."""
+    size = len(share)
+    patterns = ((np.arange(1 << size)[:, None] >> np.arange(size)) & 1).astype(float)
+    return np.moveaxis(_pattern_values(value[:, None], share.T[:, None, :], patterns[None]), 2, 0).copy()
+
+
+def _with_siblings(leaves: list[Leaf]) -> list[tuple[Leaf, tuple[Leaf, int] | None]]:
+    """Each leaf, with the leaf reached by the same tests but for the opposite of one, and the place of that one."""
+    waiting: dict[tuple, list[Leaf]] = {}
+    found: dict[int, tuple[Leaf, int]] = {}
+    taken: set[int] = set()
+    sides = {}
+    for leaf in leaves:
+        for j in range(len(leaf.features)):
+            left = leaf.low[j] == -np.inf and leaf.high[j] < np.inf
+            if left == (leaf.high[j] == np.inf and leaf.low[j] > -np.inf):
+                continue
+            rest = np.arange(len(leaf.features)) != j
+            bound = leaf.high[j] if left else leaf.low[j]
+            key = (leaf.features.tobytes(), j, float(bound), leaf.low[rest].tobytes(), leaf.high[rest].tobytes())
+            sides.setdefault(id(leaf), []).append((key, left))
+            if not left:
+                waiting.setdefault(key, []).append(leaf)
+    for leaf in leaves:
+        for key, left in sides.get(id(leaf), []):
+            if left and id(leaf) not in found and id(leaf) not in taken:
+                free = [r for r in waiting.get(key, []) if id(r) not in taken and id(r) not in found]
+                if free:
+                    found[id(leaf)] = free[0], key[1]
+                    taken.add(id(free[0]))
+    return [(leaf, found.get(id(leaf))) for leaf in leaves if id(leaf) not in taken]
+
+
 def path_tables(leaves: list[Leaf]) -> list[PathTable]:
     """All leaves, those of one path length together."""
     by_length: dict[int, list[Leaf]] = {}
     for leaf in leaves:
         if len(leaf.features):
             by_length.setdefault(len(leaf.features), []).append(leaf)
-    return [
-        PathTable.of(group[k : k + BLOCK_LEAVES])
-        for _, group in sorted(by_length.items())
-        for k in range(0, len(group), BLOCK_LEAVES)
-    ]
+    tables = []
+    for size, group in sorted(by_length.items()):
+        pairs = _with_siblings(group) if size <= SMALL_PATH else [(leaf, None) for leaf in group]
+        for k in range(0, len(pairs), BLOCK_LEAVES):
+            tables.append(PathTable.of(*map(list, zip(*pairs[k : k + BLOCK_LEAVES]))))
+    return tables
 
 
 def contributions_by_tables(tables: list[PathTable], x: np.ndarray) -> np.ndarray:

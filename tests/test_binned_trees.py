@@ -56,3 +56,19 @@ def test_thresholds_and_subsets():
     assert thresholds(np.array([1.0, 2.0, 2.0, 4.0]), np.ones(4), 8).tolist() == [1.5, 3.0]
     assert len(thresholds(np.arange(1000.0), np.ones(1000), 64)) == 63
     assert [subset_size(s, 27) for s in ("all", "0.8", "sqrt", "5", "onethird")] == [27, 22, 6, 5, 9]
+
+
+def test_siblings_share_one_table_and_keep_their_contributions():
+    """Leaves reached by opposite tests are one column; one whose feature was tested above keeps its own."""
+    leaf = lambda tests, value: tree_contributions.Leaf(
+        *(np.array([t[i] for t in tests]) for i in range(4)), value
+    )
+    inf = np.inf
+    pair = [leaf([(0, -inf, 1.0, 0.4), (2, -inf, 0.5, 0.3)], 2.0), leaf([(0, -inf, 1.0, 0.4), (2, 0.5, inf, 0.7)], -1.0)]
+    apart = [leaf([(0, 1.0, 2.0, 0.1), (1, -inf, 0.0, 0.6)], 3.0), leaf([(0, 2.0, inf, 0.5), (1, -inf, 0.0, 0.6)], 5.0)]
+    tables = tree_contributions.path_tables(pair + apart)
+    assert sum(t.features.shape[1] for t in tables) == 3
+    x = np.array([[a, b, c] for a in (0.5, 1.0, 1.5, 2.5) for b in (-1.0, 0.0, 1.0) for c in (0.0, 0.5, 1.0)])
+    together = tree_contributions.contributions_by_tables(tables, x)
+    alone = sum(tree_contributions.contributions_of([one], x) for one in pair + apart)
+    assert np.allclose(together, alone, atol=1e-12)
